@@ -122,19 +122,12 @@ def ks_two_sample(df: DataFrame, score: str = "p", label: str = "y") -> DataFram
     """Two-sided two-sample Kolmogorov-Smirnov distance and asymptotic p-value."""
     counts = score_counts(df, score, label)
     n1, n0 = _class_totals(counts)
-    gap = F.abs(
-        F.try_divide("run_positives", n1) - F.try_divide("run_negatives", n0)
-    )
-    distance = running_totals(counts, "p", ["positives", "negatives"]).agg(
-        F.max(gap).alias("d")
-    )
-    effective = n1.cast("double") * n0 / (n1 + n0)
-    return distance.select(
-        n1.cast("bigint").alias("n1"),
-        n0.cast("bigint").alias("n0"),
-        "d",
-        kolmogorov_tail(F.sqrt(effective) * F.col("d")).alias("p_value"),
+    gap = F.abs(F.try_divide("run_positives", n1) - F.try_divide("run_negatives", n0))
+    widest = running_totals(counts, "p", ["positives", "negatives"]).agg(
+        F.sum("positives").alias("n1"), F.sum("negatives").alias("n0"), F.max(gap).alias("d")
     )
+    effective = F.col("n1").cast("double") * F.col("n0") / (F.col("n1") + F.col("n0"))
+    return widest.withColumn("p_value", kolmogorov_tail(F.sqrt(effective) * F.col("d")))
 
 
 def kolmogorov_tail(z: Column, terms: int = 100) -> Column:

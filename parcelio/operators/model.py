@@ -10,10 +10,12 @@ the large table is read only once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import RFormula
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from parcelio.session import shared_folder
 WEIGHT = "n_contracts"
 POSITIVES = "n_defaults"
 RATE = "default_rate"
-LABEL = "fit_label"
+FEATURES = "fit_features"
 PREDICTION = "fit_probability"
 INTERCEPT = "(Intercept)"
 
@@ -102,48 +104,69 @@ def merge(frame: DataFrame, predictors: Sequence[str]) -> DataFrame:
     )
 
 
-def seen_levels(frame: DataFrame, predictors: Sequence[str]) -> dict[str, list[str]]:
-    """Levels of each predictor among the combinations, in alphabetical order."""
-    row = frame.agg(*[F.sort_array(F.collect_set(p)).alias(p) for p in predictors]).first()
-    return {p: list(row[p]) for p in predictors}
-
+def _encoder(predictors: Sequence[str]) -> Pipeline:
+    """Indicator columns of every level but the alphabetically first."""
+    indexed = [f"{p}_index" for p in predictors]
+    coded = [f"{p}_code" for p in predictors]
+    return Pipeline(
+        stages=[
+            StringIndexer(
+                inputCols=list(predictors), outputCols=indexed, stringOrderType="alphabetDesc"
+            ),
+            OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
+            VectorAssembler(inputCols=coded, outputCol=FEATURES),
+        ]
+    )
 
-def fit(
-    frame: DataFrame, predictors: Sequence[str], levels: dict[str, list[str]] | None = None
-) -> FittedModel:
-    """Fit on a table of combinations.
 
-    The first level of each predictor, in alphabetical order, is the reference
-    level. A predictor with one level carries no information and is left out.
-    """
-    levels = levels or seen_levels(frame, predictors)
-    used = [p for p in predictors if len(levels[p]) > 1]
-    merged = merge(frame, used).cache()
-    formula = RFormula(
-        formula=f"{RATE} ~ {' + '.join(used)}",
-        labelCol=LABEL,
-        stringIndexerOrderType="alphabetDesc",
-        handleInvalid="skip",
-    )
-    regression = GeneralizedLinearRegression(
+def _regression(features: str = FEATURES) -> GeneralizedLinearRegression:
+    return GeneralizedLinearRegression(
         family="binomial",
         link="logit",
+        featuresCol=features,
         weightCol=WEIGHT,
-        labelCol=LABEL,
+        labelCol=RATE,
         predictionCol=PREDICTION,
     )
-    pipeline = Pipeline(stages=[formula, regression]).fit(merged)
-    probability = F.col(PREDICTION)
+
+
+def _varying(frame: DataFrame, predictors: Sequence[str]) -> list[str]:
+    """Predictors with at least two levels; the others carry no information."""
+    levels = frame.agg(*[F.count_distinct(p).alias(p) for p in predictors]).first()
+    return [p for p in predictors if levels[p] > 1]
+
+
+def _saturated(frame: DataFrame) -> float:
+    """Log-likelihood of single contracts if each combination had its own rate.
+
+    The deviance of a fit on combinations is measured against this value.
+    """
     negatives = F.col(WEIGHT) - F.col(POSITIVES)
-    # An empty class adds nothing, whatever its probability.
-    hits = F.when(F.col(POSITIVES) > 0, F.col(POSITIVES) * F.ln(probability)).otherwise(0.0)
-    misses = F.when(negatives > 0, negatives * F.ln(1 - probability)).otherwise(0.0)
-    log_likelihood = pipeline.transform(merged).agg(F.sum(hits + misses)).first()[0]
+    hits = F.when(F.col(POSITIVES) > 0, F.col(POSITIVES) * F.ln(RATE)).otherwise(0.0)
+    misses = F.when(negatives > 0, negatives * F.ln(1 - F.col(RATE))).otherwise(0.0)
+    return frame.agg(F.sum(hits + misses)).first()[0]
+
+
+def _aic(deviance: float, saturated: float, rank: int) -> float:
+    return deviance - 2 * saturated + 2 * rank
+
+
+def fit(frame: DataFrame, predictors: Sequence[str]) -> FittedModel:
+    """Fit on a table of combinations.
+
+    The first level of each predictor, in alphabetical order, is the reference
+    level. A predictor with one level is left out.
+    """
+    used = _varying(frame, predictors)
+    merged = merge(frame, used).cache()
+    encoder = _encoder(used).fit(merged)
+    regression = _regression().fit(encoder.transform(merged))
+    labels = encoder.stages[0].labelsArray
+    levels = {p: list(reversed(names)) for p, names in zip(used, labels)}
+    rank = 1 + len(regression.coefficients)
+    aic = _aic(regression.summary.deviance, _saturated(merged), rank)
     merged.unpersist()
-    rank = 1 + sum(len(levels[p]) - 1 for p in used)
-    return FittedModel(
-        tuple(used), {p: levels[p] for p in used}, pipeline, 2 * rank - 2 * log_likelihood
-    )
+    return FittedModel(tuple(used), levels, PipelineModel([*encoder.stages, regression]), aic)
 
 
 def fit_logit(df: DataFrame, response: str, predictors: Sequence[str]) -> FittedModel:
@@ -152,28 +175,51 @@ def fit_logit(df: DataFrame, response: str, predictors: Sequence[str]) -> Fitted
 
 
 def backward_aic(
-    frame: DataFrame, predictors: Sequence[str]
+    frame: DataFrame, predictors: Sequence[str], parallelism: int = 8
 ) -> tuple[FittedModel, list[tuple[int, str, float]]]:
     """Drop predictors one at a time while the AIC falls.
 
-    Every candidate is fitted on the combinations of its own predictors only.
-    Returns the chosen model and the accepted steps (number, dropped, AIC); the
-    loop over candidates runs on the driver, the fits on Spark.
+    The combinations are encoded once; a candidate is a fit on the indicator
+    columns of its own predictors. The candidates of one step are fitted at the
+    same time. Returns the chosen model and the accepted steps (number, dropped
+    predictor, AIC).
     """
-    levels = seen_levels(frame, predictors)
-    current = fit(frame, predictors, levels)
-    steps = [(0, "", current.aic)]
-    while len(current.predictors) > 1:
-        candidates = [
-            (fit(frame, [p for p in current.predictors if p != dropped], levels), dropped)
-            for dropped in current.predictors
-        ]
-        best, dropped = min(candidates, key=lambda c: c[0].aic)
-        if best.aic >= current.aic:
-            break
-        current = best
-        steps.append((len(steps), dropped, best.aic))
-    return current, steps
+    used = _varying(frame, predictors)
+    merged = merge(frame, used).cache()
+    encoder = _encoder(used).fit(merged)
+    encoded = encoder.transform(merged).select(FEATURES, WEIGHT, POSITIVES, RATE)
+    # Many short jobs follow: one task per fifty thousand combinations is enough.
+    encoded = encoded.coalesce(1 + merged.count() // 50_000).cache()
+    saturated = _saturated(encoded)
+    slots: dict[str, list[int]] = {}
+    position = 0
+    for predictor, names in zip(used, encoder.stages[0].labelsArray):
+        slots[predictor] = list(range(position, position + len(names) - 1))
+        position += len(names) - 1
+
+    def aic_of(chosen: Sequence[str]) -> float:
+        indices = [i for p in chosen for i in slots[p]]
+        sliced = VectorSlicer(inputCol=FEATURES, outputCol="slice", indices=indices)
+        fitted = _regression("slice").fit(sliced.transform(encoded))
+        return _aic(fitted.summary.deviance, saturated, 1 + len(indices))
+
+    def candidate(dropped: str) -> tuple[float, str]:
+        return aic_of([p for p in current if p != dropped]), dropped
+
+    current = list(used)
+    best_aic = aic_of(current)
+    steps = [(0, "", best_aic)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        while len(current) > 1:
+            aic, dropped = min(pool.map(candidate, current))
+            if aic >= best_aic:
+                break
+            best_aic = aic
+            current = [p for p in current if p != dropped]
+            steps.append((len(steps), dropped, aic))
+    encoded.unpersist()
+    merged.unpersist()
+    return fit(frame, current), steps
 
 
 def coefficient_table(spark: SparkSession, model: FittedModel) -> DataFrame:
@@ -184,14 +230,19 @@ def coefficient_table(spark: SparkSession, model: FittedModel) -> DataFrame:
     """
     summary = model.pipeline.stages[-1].summary
     estimates = [*model.pipeline.stages[-1].coefficients.toArray().tolist(), model.intercept]
+    try:
+        errors = list(summary.coefficientStandardErrors)
+        tests = list(zip(summary.tValues, summary.pValues))
+    except UnsupportedOperationException as unavailable:
+        # Collinear predictors: Spark still finds a fit, but no standard errors.
+        if "Std. Error" not in str(unavailable):
+            raise
+        errors = [None] * len(estimates)
+        tests = [(None, None)] * len(estimates)
     rows = [
-        (p + v, float(b), float(e), float(z), float(pv), abs(float(z)))
-        for (p, v), b, e, z, pv in zip(
-            [*model.terms(), (INTERCEPT, "")],
-            estimates,
-            summary.coefficientStandardErrors,
-            summary.tValues,
-            summary.pValues,
+        (p + v, float(b), e, z, pv, None if z is None else abs(z))
+        for (p, v), b, e, (z, pv) in zip(
+            [*model.terms(), (INTERCEPT, "")], estimates, errors, tests
         )
     ]
     return spark.createDataFrame(

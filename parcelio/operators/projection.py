@@ -35,7 +35,7 @@ BOUNDARIES = (
 )
 
 _NEVER = date(9999, 12, 31)
-_LONG_AGO = date(1, 1, 1)
+_LONG_AGO = date(1000, 1, 1)
 _PREFIX = "__p_"
 
 

@@ -133,16 +133,16 @@ def debt_projection(spark, sf_dir):
 
 def provision_scenario(spark, sf_dir, scenario):
     totals = provisioning.provision_scenario(*_inputs(spark, sf_dir), scenario)
-    return portable(totals, rounded=2)
+    return portable(totals, rounded=3)
 
 
 def provision_all(spark, sf_dir):
-    return portable(provisioning.provision_all(*_inputs(spark, sf_dir)), rounded=2)
+    return portable(provisioning.provision_all(*_inputs(spark, sf_dir)), rounded=3)
 
 
 def scenario_export(spark, sf_dir):
     totals = provisioning.provision_scenario(*_inputs(spark, sf_dir), 2)
-    rounded = totals.withColumn("tot_prov_cen2", F.round("tot_prov_cen2", 2))
+    rounded = totals.withColumn("tot_prov_cen2", F.round("tot_prov_cen2", 3))
     return sinks.scenario_rows(rounded, "tot_prov_cen2")
 
 
@@ -372,7 +372,7 @@ def _model_table(spark, sf_dir):
 
 def feature_buckets(spark, sf_dir):
     return _model_table(spark, sf_dir).select(
-        "id", "resposta", "novo_curso2", *features.bucket_columns()
+        "id", F.col("resposta").cast("bigint"), "novo_curso2", *features.bucket_columns()
     )
 
 
@@ -480,7 +480,7 @@ def stepwise_aic(spark, sf_dir):
 def score_contracts(spark, sf_dir):
     fitted = _final_model(spark, sf_dir)
     scored = model.score_contracts(_model_table(spark, sf_dir), fitted)
-    return scored.select("id", "resposta", "score")
+    return scored.select("id", F.col("resposta").cast("bigint"), "score")
 
 
 # Digest ---------------------------------------------------------------------

@@ -139,7 +139,7 @@ def _scenario(number: int) -> str:
     condition = "WHERE score > 0.3e0" if number == 1 else ""
     return _DEBT + f"""
 SELECT cast(cmpt AS varchar) AS cmpt, count(*) AS qtd_contratos,
-       round(sum({_PROVISIONS[number]}), 2) AS tot_prov_cen{number}
+       round(sum({_PROVISIONS[number]}), 3) AS tot_prov_cen{number}
 FROM lagged {condition} GROUP BY cmpt"""
 
 
@@ -147,17 +147,17 @@ PROVISIONING = {
     "provision_all": _DEBT + f"""
 SELECT cast(cmpt AS varchar) AS cmpt, count(*) AS qtd_contratos,
        count(*) FILTER (score > 0.3e0) AS qtd_contratos_cen1,
-       round(sum({_PROVISIONS[1]}) FILTER (score > 0.3e0), 2) AS tot_prov_cen1,
-       round(sum({_PROVISIONS[2]}), 2) AS tot_prov_cen2,
-       round(sum({_PROVISIONS[3]}), 2) AS tot_prov_cen3,
-       round(sum({_PROVISIONS[4]}), 2) AS tot_prov_cen4
+       round(sum({_PROVISIONS[1]}) FILTER (score > 0.3e0), 3) AS tot_prov_cen1,
+       round(sum({_PROVISIONS[2]}), 3) AS tot_prov_cen2,
+       round(sum({_PROVISIONS[3]}), 3) AS tot_prov_cen3,
+       round(sum({_PROVISIONS[4]}), 3) AS tot_prov_cen4
 FROM lagged GROUP BY cmpt""",
     **{f"provision_scenario_{n}": _scenario(n) for n in (1, 2, 3, 4)},
     "debt_projection": _DEBT + """
 SELECT cpf, cast(cmpt AS varchar) AS cmpt, fase, v1 AS valor_divida, v2 AS "valor_divida_II",
        v2 AS "valor_divida_III", v4 AS "valor_divida_IV" FROM debts""",
     "scenario_export": _DEBT + f"""
-, totals AS (SELECT cmpt, count(*) AS n, round(sum({_PROVISIONS[2]}), 2) AS total
+, totals AS (SELECT cmpt, count(*) AS n, round(sum({_PROVISIONS[2]}), 3) AS total
              FROM lagged GROUP BY cmpt)
 SELECT cast(row_number() OVER (ORDER BY cmpt) AS varchar) AS "index",
        cast(cmpt AS varchar) AS cmpt, cast(n AS varchar) AS qtd_contratos,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The columns and formats of the regime table.
@@ -30,12 +31,15 @@ def read_semicolon(
     encoding: str = "UTF-8",
     decimal_comma: bool = True,
 ) -> DataFrame:
-    """`;`-separated text with header, blanks trimmed, decimal comma by default."""
+    """`;`-separated text with header, blanks trimmed, decimal comma by default.
+
+    `null_value` marks a missing value; an empty field of a text column is an
+    empty text. Spark reads both as null when told the marker, so the marker is
+    resolved after the read. A field that is not of its type reads as null.
+    """
     reader = (
         spark.read.option("header", True)
         .option("sep", ";")
-        .option("nullValue", null_value)
-        .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("dateFormat", date_format)
@@ -43,7 +47,15 @@ def read_semicolon(
     )
     if decimal_comma:
         reader = reader.option("locale", "pt-BR")
-    return reader.schema(schema).csv(path)
+    return _resolve_marker(reader.schema(schema).csv(path), null_value)
+
+
+def _resolve_marker(table: DataFrame, null_value: str) -> DataFrame:
+    texts = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+    resolved = {
+        c: F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(null_value)) for c in texts
+    }
+    return table.withColumns(resolved) if resolved else table
 
 
 def read_semicolon_latin1(
