@@ -46,6 +46,15 @@ def left_join_null_safe(
     return left.join(renamed, condition, "left").drop(*marked.values())
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a lookup table for broadcast once its size is checked.
+
+    A table of more than `rows` rows is returned unmarked; Spark then chooses
+    the join from its own statistics.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fill_missing(
     df: DataFrame, number: float = 0, text: str | None = None, text_columns: Iterable[str] = ()
 ) -> DataFrame:

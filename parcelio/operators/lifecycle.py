@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelio.functions.dates import add_semesters, half_year_floor
-from parcelio.functions.nulls import left_join_null_safe, propagate_null
+from parcelio.functions.nulls import broadcast_if_small, left_join_null_safe, propagate_null
 from parcelio.functions.numbers import divide_or_null, round_half_even
 
 # Phase names, the regime used when no period matches, and the
@@ -18,6 +18,9 @@ EXTRA_SEMESTERS = 2
 REGIMES_WITH_EXTRA = ("I", "II")
 GRACE_SEMESTERS = 3
 
+# Rows of a lookup table that every executor may hold: about 270 years of days.
+CALENDAR_LIMIT = 100_000
+
 
 def regime_calendar(regimes: DataFrame) -> DataFrame:
     """One row per day covered by a regime, so a period lookup is an equi-join.
@@ -37,18 +40,19 @@ def assign_regime(
     """Attach the regime in force on the signing date, and its terms.
 
     Dates outside every period take `catch_all`; a missing date stays without
-    regime.
+    regime. Contracts are not shuffled: both lookups are broadcast while the
+    regimes and the days they cover are few.
     """
     signed = F.col("dt_assinatura_contrato")
-    dated = contracts.join(
-        regime_calendar(regimes), signed == F.col("dia"), "left"
-    ).withColumn(
+    calendar = broadcast_if_small(regime_calendar(regimes), CALENDAR_LIMIT)
+    dated = contracts.join(calendar, signed == F.col("dia"), "left").withColumn(
         "tipo_regencia",
         propagate_null(signed, F.coalesce(F.col("regime_do_dia"), F.lit(catch_all))),
     ).drop("dia", "regime_do_dia")
     terms = regimes.select(
         "tipo_regencia", "carencia", "amortizacao", "pgto_juros", "percent_garantia"
     )
+    terms = broadcast_if_small(terms, CALENDAR_LIMIT)
     return left_join_null_safe(dated, terms, {"tipo_regencia": "tipo_regencia"})
 
 

@@ -34,9 +34,8 @@ BOUNDARIES = (
     "fim_amortizacao",
 )
 
-_NEVER = date(9999, 12, 31)
-_LONG_AGO = date(1000, 1, 1)
-_PREFIX = "__p_"
+_FAR = 1_000_000
+_PACKED = 9
 
 
 def grid_limits(lifecycle: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def phase_label(semester: Column, end: date = HORIZON_END) -> Column:
 def semester_number(first: Column, semester: Column) -> Column:
     """1 for the first semester, 2 for the next, and so on."""
     months = (F.year(semester) - F.year(first)) * 12 + F.month(semester) - F.month(first)
-    return (months / 6).cast("bigint") + 1
+    return F.floor(months / 6).cast("int") + 1
 
 
 def phase_first_semester(label: Column, start: date = HORIZON_START) -> Column:
@@ -117,65 +116,76 @@ def phase_first_semester(label: Column, start: date = HORIZON_START) -> Column:
 
 def with_semester_index(labelled: DataFrame, start: date = HORIZON_START) -> DataFrame:
     """Add the position within the contract and within the phase."""
+    first = phase_first_semester(F.col("fase"), start)
     return labelled.withColumns(
         {
             "id_cpf": semester_number(F.lit(start), F.col("cmpt")),
-            "id_fase": semester_number(
-                phase_first_semester(F.col("fase"), start), F.col("cmpt")
-            ),
+            "id_fase": semester_number(first, F.col("cmpt")),
         }
     )
 
 
-def _inputs() -> dict[str, Column]:
-    """Per-contract inputs without nulls.
+def _amounts(threshold: float) -> dict[str, Column]:
+    """Per-contract factors and amounts of the recurrence.
 
     A missing amount becomes NaN, which passes through every later sum and
-    product, and a missing boundary becomes a date that never matches. Columns
-    that cannot be null let Spark compile the chain to plain arithmetic.
+    product; columns that cannot be null compile to plain arithmetic.
     """
-    nan = F.lit(float("nan"))
     growth = 1 + F.col("tx_juros") / 200
     cut = F.col("vlr_abatimento") * growth
     shared = cut * (1 - F.col("score"))
-    defaulter = F.col("score") > F.col("__threshold")
-    numbers = {
-        "growth": growth,
-        "draw": F.col("vlr_semestre"),
-        "cut_full": F.when(defaulter, F.lit(0.0)).otherwise(-cut),
-        "cut_shared": F.when(defaulter, F.lit(0.0)).otherwise(-shared),
-        "cut_always": -shared,
-        "seed": F.col("valor_divida"),
+    defaulter = F.col("score") > F.lit(threshold)
+    amounts = {
+        "p_growth": growth,
+        "p_draw": F.col("vlr_semestre"),
+        "p_cut_full": F.when(defaulter, F.lit(0.0)).otherwise(-cut),
+        "p_cut_shared": F.when(defaulter, F.lit(0.0)).otherwise(-shared),
+        "p_cut_always": -shared,
+        "p_seed": F.col("valor_divida"),
     }
-    begins = {name: F.lit(_NEVER) for name in BOUNDARIES if name.startswith("in_")}
-    ends = {name: F.lit(_LONG_AGO) for name in BOUNDARIES if name.startswith("fim_")}
-    ends["fim_amortizacao"] = F.lit(_NEVER)
-    result = {_PREFIX + k: F.coalesce(v.cast("double"), nan) for k, v in numbers.items()}
-    for name, fallback in {**begins, **ends}.items():
-        result[_PREFIX + name] = F.coalesce(F.col(name), fallback)
-    return result
-
+    nan = F.lit(float("nan"))
+    return {name: F.coalesce(a.cast("double"), nan) for name, a in amounts.items()}
 
-def _in_phase(semester: date, begin: str, end: str) -> Column:
-    return F.lit(semester).between(F.col(_PREFIX + begin), F.col(_PREFIX + end))
 
+def _positions(start: date) -> dict[str, Column]:
+    """Phase boundaries as positions on the horizon, 1 being its first semester.
 
-def _change(semester: date, cut: str) -> Column:
-    """Amount added to the grown debt: a draw in use, nothing in grace, else a cut."""
-    return (
-        F.when(F.lit(semester) >= F.col(_PREFIX + "fim_amortizacao"), F.col(_PREFIX + cut))
-        .when(_in_phase(semester, "in_carencia", "fim_carencia"), F.lit(0.0))
-        .when(_in_phase(semester, "in_utilizacao", "fim_utilizacao"), F.col(_PREFIX + "draw"))
-        .otherwise(F.col(_PREFIX + cut))
-    )
-
+    A missing boundary becomes a position that no semester reaches.
+    """
+    never = {"in": F.lit(_FAR), "fim": F.lit(-_FAR)}
+    positions = {}
+    for boundary in BOUNDARIES:
+        edge = boundary.split("_")[0]
+        fallback = F.lit(_FAR) if boundary == "fim_amortizacao" else never[edge]
+        position = semester_number(F.lit(start), F.col(boundary))
+        positions[f"p_{boundary}"] = F.coalesce(position, fallback)
+    return positions
+
+
+def _steps(i: int, variant_four: bool) -> list[str]:
+    """Expressions for the debts of semester `i` from those of the one before.
+
+    To the grown debt a semester of use adds a draw, a grace semester adds
+    nothing, and any other semester adds the (negative) cut of the variant.
+    Variant IV follows variant I through use and grace.
+    """
+    done = f"{i} >= p_fim_amortizacao"
+    grace = f"{i} BETWEEN p_in_carencia AND p_fim_carencia"
+    use = f"{i} BETWEEN p_in_utilizacao AND p_fim_utilizacao"
+
+    def step(variant: str, cut: str) -> str:
+        return (
+            f"{variant}_{i - 1} * p_growth + CASE WHEN {done} THEN {cut} WHEN {grace} THEN 0e0 "
+            f"WHEN {use} THEN p_draw ELSE {cut} END AS {variant}_{i}"
+        )
 
-def _restarts(semester: date) -> Column:
-    """Use and grace semesters, in which variant IV follows variant I."""
-    return (F.lit(semester) < F.col(_PREFIX + "fim_amortizacao")) & (
-        _in_phase(semester, "in_carencia", "fim_carencia")
-        | _in_phase(semester, "in_utilizacao", "fim_utilizacao")
-    )
+    steps = [step("d1", "p_cut_full"), step("d2", "p_cut_shared")]
+    if variant_four:
+        steps.append(
+            f"CASE WHEN NOT ({done}) AND ({grace} OR {use}) THEN d1_{i} "
+            f"ELSE d4_{i - 1} * p_growth + p_cut_always END AS d4_{i}"
+        )
+    return steps
 
 
 def project_debt(
@@ -188,42 +198,80 @@ def project_debt(
 ) -> DataFrame:
     """Debt of every contract in every semester of the horizon.
 
-    Input: life-cycle columns and `score`. Output: `keep`, the phase boundaries,
-    `cmpt`, unrounded `d1` (variant I), `d2` (variant II), `d2_before` (variant
-    II one semester earlier) and, on request, `d4` (variant IV). Missing debts
-    are NaN here; `debt_columns` turns them into nulls.
+    Input: life-cycle columns and `score`. Output: `keep`, `cmpt`, the phase
+    label and the positions within contract and phase, and the unsettled debts:
+    `d1` (variant I), `d2` (variant II), `d2_before` (variant II one semester
+    earlier) and, on request, `d4` (variant IV). A missing debt is NaN here.
     """
     semesters = semester_starts(start, end)
-    carried = list(dict.fromkeys([*keep, *BOUNDARIES]))
-    prepared = lifecycle.withColumn("__threshold", F.lit(threshold)).select(
-        *carried, *[c.alias(n) for n, c in _inputs().items()]
+    variants = ["d1", "d2"] + (["d4"] if variant_four else [])
+    positions = _positions(start)
+    prepared = lifecycle.select(
+        *keep,
+        *[c.alias(n) for n, c in _amounts(threshold).items()],
+        *[c.alias(n) for n, c in positions.items()],
+    )
+    # Each expression names results of the semester before it; Spark resolves
+    # them within one selection. Finished semesters are packed into arrays, a
+    # few at a time, so that few values are alive at any step: Java compiles
+    # long argument lists badly.
+    steps = [f"p_seed AS {v}_1" for v in variants]
+    packed: dict[str, list[str]] = {v: [] for v in variants}
+    for i in range(1, len(semesters) + 1):
+        if i > 1:
+            steps += _steps(i, variant_four)
+        if i % _PACKED == 0 or i == len(semesters):
+            first = (i - 1) // _PACKED * _PACKED + 1
+            for v in variants:
+                values = ", ".join(f"{v}_{j}" for j in range(first, i + 1))
+                steps.append(f"array({values}) AS {v}_to_{i}")
+                packed[v].append(f"{v}_to_{i}")
+    chain = prepared.selectExpr("*", *steps).selectExpr(
+        *keep, *positions, *[f"concat({', '.join(p)}) AS {v}s" for v, p in packed.items()]
+    )
+    calendar = F.array(
+        *[
+            F.struct(F.lit(d).alias("cmpt"), F.lit(i).alias("id_cpf"))
+            for i, d in enumerate(semesters, start=1)
+        ]
     )
+    at = F.col("id_cpf") - 1
+    unfolded = chain.select("*", F.inline(calendar)).select(
+        *keep,
+        "cmpt",
+        "id_cpf",
+        _label_by_position().alias("fase"),
+        _position_in_phase().alias("id_fase"),
+        *[F.get(F.col(f"{v}s"), at).alias(v) for v in variants],
+        F.get(F.col("d2s"), at - 1).alias("d2_before"),
+    )
+    return within_limits(lifecycle, unfolded, start)
 
-    def name(variant: str, position: int) -> str:
-        return f"__{variant}_{position}"
 
-    variants = ["d1", "d2"] + (["d4"] if variant_four else [])
-    growth = F.col(_PREFIX + "growth")
-    chain = prepared.withColumns({name(v, 0): F.col(_PREFIX + "seed") for v in variants})
-    for i, semester in enumerate(semesters[1:], start=1):
-        before = {v: F.col(name(v, i - 1)) for v in variants}
-        after = {
-            name("d1", i): before["d1"] * growth + _change(semester, "cut_full"),
-            name("d2", i): before["d2"] * growth + _change(semester, "cut_shared"),
-        }
-        if variant_four:
-            source = F.when(_restarts(semester), before["d1"]).otherwise(before["d4"])
-            after[name("d4", i)] = source * growth + _change(semester, "cut_always")
-        chain = chain.withColumns(after)
-
-    rows = []
-    for i, semester in enumerate(semesters):
-        fields = [F.lit(semester).alias("cmpt")]
-        fields += [F.col(name(v, i)).alias(v) for v in variants]
-        earlier = F.col(name("d2", i - 1)) if i else F.lit(float("nan"))
-        rows.append(F.struct(*fields, earlier.alias("d2_before")))
-    unfolded = chain.select(*carried, F.inline(F.array(*rows)))
-    return within_limits(lifecycle, unfolded, start)
+def _label_by_position() -> Column:
+    i = F.col("id_cpf")
+    return (
+        F.when(i >= F.col("p_fim_amortizacao"), LABEL_DONE)
+        .when(i >= F.col("p_in_amortizacao"), LABEL_REPAY)
+        .when(i.between(F.col("p_in_carencia"), F.col("p_fim_carencia")), LABEL_GRACE)
+        .when(i.between(F.col("p_in_utilizacao"), F.col("p_fim_utilizacao")), LABEL_USE)
+        .otherwise(LABEL_NONE)
+    )
+
+
+def _position_in_phase() -> Column:
+    i = F.col("id_cpf")
+    begin = (
+        F.when(i >= F.col("p_fim_amortizacao"), F.col("p_fim_amortizacao"))
+        .when(i >= F.col("p_in_amortizacao"), F.col("p_in_amortizacao"))
+        .when(i.between(F.col("p_in_carencia"), F.col("p_fim_carencia")), F.col("p_in_carencia"))
+        .when(
+            i.between(F.col("p_in_utilizacao"), F.col("p_fim_utilizacao")),
+            F.col("p_in_utilizacao"),
+        )
+        .otherwise(F.lit(1))
+    )
+    return i - F.greatest(begin, F.lit(1)) + 1
 
 
 def settle(debt: Column) -> Column:
@@ -232,12 +280,9 @@ def settle(debt: Column) -> Column:
     return round_half_even(clamp_negative(known))
 
 
-def debt_columns(
-    projected: DataFrame, start: date = HORIZON_START, end: date = HORIZON_END
-) -> DataFrame:
-    """Labelled, indexed and settled debts; variant III equals variant II."""
-    labelled = projected.withColumn("fase", phase_label(F.col("cmpt"), end))
-    settled = with_semester_index(labelled, start).withColumns(
+def debt_columns(projected: DataFrame) -> DataFrame:
+    """Settled debts of every variant; variant III equals variant II."""
+    settled = projected.withColumns(
         {
             "valor_divida": settle(F.col("d1")),
             "valor_divida_II": settle(F.col("d2")),

@@ -37,11 +37,14 @@ def _every(key: str, n: int, remainder: int = 0) -> Column:
 
 def regimes(spark: SparkSession) -> DataFrame:
     names = (
-        "inicio string, fim string, tipo_regencia string, tx_juros double, carencia int, "
-        "amortizacao string, pgto_juros int, percent_garantia int"
+        "inicio", "fim", "tipo_regencia", "tx_juros", "carencia", "amortizacao", "pgto_juros",
+        "percent_garantia",
+    )
+    values = ", ".join(str(row) for row in REGIMES)
+    rows = spark.sql(f"SELECT * FROM VALUES {values} AS r({', '.join(names)})")
+    return rows.withColumns({c: F.col(c).cast("date") for c in ("inicio", "fim")}).withColumn(
+        "tx_juros", F.col("tx_juros").cast("double")
     )
-    rows = spark.createDataFrame(list(REGIMES), names)
-    return rows.withColumns({c: F.col(c).cast("date") for c in ("inicio", "fim")})
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
