@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,9 +69,7 @@ def latest_state_balance(balances: DataFrame) -> DataFrame:
     The window runs over the grouped totals, at most one row per state and
     month, not over the balances.
     """
-    total = F.lit(0.0)
-    for i, measure in enumerate(MEASURES):
-        total = F.col(measure) if i == 0 else total + F.col(measure)
+    total = reduce(add, map(F.col, MEASURES))
     totals = balances.groupBy(STATE, MONTH).agg(sum_strict(total).alias("value"))
     last = F.max(MONTH).over(Window.partitionBy(STATE))
     return (
@@ -129,29 +129,25 @@ def account_extract(
 ) -> DataFrame:
     """Balances with the programme, entity and status of their account.
 
-    Both filters sit on the inputs so that they reach the scans, and the bank
-    filter also holds for the accounts, which share that key. The two large
-    tables meet once, on the four-column account key; Spark broadcasts the
-    lookups while they are small.
+    Both filters sit on the inputs so that they reach the scans; the bank
+    filter holds for the accounts too, which share that key. Accounts are
+    narrowed and described first, and only then meet the balances, which hold
+    many months per account: one large join, on the four-column account key.
     """
-    chosen = linked_programmes.filter(F.col("co_programa").isin(*programme_codes))
-    account = accounts.filter(F.col("nu_banco") == bank).withColumnRenamed(
-        "nu_identificador", "nu_cnpj"
+    linked = linked_programmes.filter(F.col("co_programa").isin(*programme_codes)).select(
+        F.col("co_programa_vinculado").alias("co_programa")
     )
-    return (
-        balances.filter(F.col("nu_banco") == bank)
-        .join(account, ["nu_cnpj", "nu_agencia", "nu_banco", "nu_conta_corrente"])
-        .join(
-            chosen.select(F.col("co_programa_vinculado").alias("__linked")),
-            F.col("co_programa") == F.col("__linked"),
-        )
-        .drop("__linked")
+    described = (
+        accounts.filter(F.col("nu_banco") == bank)
+        .join(linked, "co_programa")
         .join(programmes, "co_programa")
         .join(entities, "nu_seq_entidade")
-        .join(
-            statuses.withColumnRenamed("co_st_conta", "co_situacao_conta"),
-            "co_situacao_conta",
-        )
-        .withColumn("nu_processo_mask", mask_identifier(F.col("nu_processo"), *mask))
+        .join(statuses.withColumnRenamed("co_st_conta", "co_situacao_conta"), "co_situacao_conta")
         .drop("nu_seq_entidade", "co_situacao_conta")
+        .withColumnRenamed("nu_identificador", "nu_cnpj")
+    )
+    return (
+        balances.filter(F.col("nu_banco") == bank)
+        .join(described, ["nu_cnpj", "nu_agencia", "nu_banco", "nu_conta_corrente"])
+        .withColumn("nu_processo_mask", mask_identifier(F.col("nu_processo"), *mask))
     )

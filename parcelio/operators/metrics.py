@@ -30,17 +30,18 @@ def running_totals(
             F.count(F.lit(1)).alias("n"),
         ).alias("span")
     ).scalar()
-    coarse = _part(v, span["lo"], span["hi"], F.lit(_SLICES))
-    sliced = df.withColumn("__slice", coarse)
+    coarse = _part(v, F.col("__span.lo"), F.col("__span.hi"), F.lit(_SLICES))
+    sliced = df.withColumn("__span", span).withColumn("__slice", coarse)
+    share = F.count(F.lit(1)) * F.lit(_SLICES) / F.first("__span.n")
     cuts = sliced.groupBy("__slice").agg(
         F.min(value).cast("double").alias("__lo"),
         F.max(value).cast("double").alias("__hi"),
-        F.ceil(F.count(F.lit(1)) * F.lit(_SLICES) / span["n"]).cast("int").alias("__parts"),
+        F.ceil(share).cast("int").alias("__parts"),
     )
     fine = (
         sliced.join(cuts, "__slice")
         .withColumn("__part", _part(v, F.col("__lo"), F.col("__hi"), F.col("__parts")))
-        .drop("__lo", "__hi", "__parts")
+        .drop("__span", "__lo", "__hi", "__parts")
     )
     keys = ["__slice", "__part"]
     totals = fine.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
@@ -80,11 +81,16 @@ def score_counts(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame
     )
 
 
-def _class_totals(counts: DataFrame) -> tuple[Column, Column]:
+def _with_class_totals(running: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add the struct `__all` with all positives (`n1`) and negatives (`n0`)."""
     totals = counts.agg(
         F.struct(F.sum("positives").alias("n1"), F.sum("negatives").alias("n0")).alias("t")
-    ).scalar()
-    return totals["n1"], totals["n0"]
+    )
+    return running.withColumn("__all", totals.scalar())
+
+
+def _rate(measure: str, total: str) -> Column:
+    return F.try_divide(f"run_{measure}", F.col(f"__all.{total}"))
 
 
 def roc_curve(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
@@ -93,11 +99,11 @@ def roc_curve(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     The first point has an infinite cut-off and both rates zero.
     """
     counts = score_counts(df, score, label)
-    n1, n0 = _class_totals(counts)
-    points = running_totals(counts, "p", ["positives", "negatives"], descending=True).select(
+    running = running_totals(counts, "p", ["positives", "negatives"], descending=True)
+    points = _with_class_totals(running, counts).select(
         F.col("p").alias("cutoff"),
-        F.try_divide("run_positives", n1).alias("tpr"),
-        F.try_divide("run_negatives", n0).alias("fpr"),
+        _rate("positives", "n1").alias("tpr"),
+        _rate("negatives", "n0").alias("fpr"),
     )
     origin = df.sparkSession.range(1).select(
         F.lit(float("inf")).alias("cutoff"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")
@@ -121,9 +127,9 @@ def auc(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
 def ks_two_sample(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """Two-sided two-sample Kolmogorov-Smirnov distance and asymptotic p-value."""
     counts = score_counts(df, score, label)
-    n1, n0 = _class_totals(counts)
-    gap = F.abs(F.try_divide("run_positives", n1) - F.try_divide("run_negatives", n0))
-    widest = running_totals(counts, "p", ["positives", "negatives"]).agg(
+    running = running_totals(counts, "p", ["positives", "negatives"])
+    gap = F.abs(_rate("positives", "n1") - _rate("negatives", "n0"))
+    widest = _with_class_totals(running, counts).agg(
         F.sum("positives").alias("n1"), F.sum("negatives").alias("n0"), F.max(gap).alias("d")
     )
     effective = F.col("n1").cast("double") * F.col("n0") / (F.col("n1") + F.col("n0"))

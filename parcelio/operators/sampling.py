@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEX_DIGITS = 15  # 60 bits: exact as a bigint
+_GROUP_DIGITS = 4
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -28,28 +29,40 @@ def sample_rows(df: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame
     )
 
 
+def _grouped(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with their hash and its leading digits as a group."""
+    hashed = df.withColumn("__hash", seeded_hash(F.col(key), seed))
+    return hashed.withColumn("__group", F.substring("__hash", 1, _GROUP_DIGITS))
+
+
+def _group_sizes(grouped: DataFrame) -> DataFrame:
+    return grouped.groupBy("__group").agg(F.count(F.lit(1)).alias("__size"))
+
+
 def with_dense_index(
-    df: DataFrame, key: str, seed: int = 42, index: str = "row_index", prefix: int = 4
+    df: DataFrame, key: str, seed: int = 42, index: str = "row_index", total: str | None = None
 ) -> DataFrame:
     """Number all rows 1..N in hash order without a single-task window.
 
-    Rows fall into 16^prefix groups by the leading hash digits. Group sizes are
+    Rows fall into 65,536 groups by the leading hash digits. Group sizes are
     counted with a map-side combine, turned into offsets over that bounded
     number of groups, and added to the position within the group. Hashing
     spreads the groups evenly, whatever the distribution of the keys; `key`
-    must be unique.
+    must be unique. `total` names an optional column that holds N.
     """
-    hashed = df.withColumn("__hash", seeded_hash(F.col(key), seed)).withColumn(
-        "__group", F.substring("__hash", 1, prefix)
+    grouped = _grouped(df, key, seed)
+    everything = Window.orderBy("__group").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
-    sizes = hashed.groupBy("__group").agg(F.count(F.lit(1)).alias("__size"))
     running = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__group", F.coalesce(F.sum("__size").over(running), F.lit(0)).alias("__offset")
+    offsets = _group_sizes(grouped).select(
+        "__group",
+        F.coalesce(F.sum("__size").over(running), F.lit(0)).alias("__offset"),
+        *([F.sum("__size").over(everything).alias(total)] if total else []),
     )
     within = Window.partitionBy("__group").orderBy("__hash", key)
     return (
-        hashed.withColumn("__position", F.row_number().over(within))
+        grouped.withColumn("__position", F.row_number().over(within))
         .join(offsets, "__group")
         .withColumn(index, (F.col("__offset") + F.col("__position")).cast("bigint"))
         .drop("__group", "__position", "__offset", "__hash")
@@ -63,7 +76,7 @@ def bootstrap_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFra
     equi-join on that number fetches the row.
     """
     indexed = with_dense_index(df, key, seed)
-    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    total = _group_sizes(_grouped(df, key, seed)).agg(F.sum("__size")).scalar()
     draws = df.sparkSession.range(1, n + 1).select(
         F.col("id").alias("draw"),
         (hash_number(seeded_hash(F.col("id"), seed)) % total + 1).alias("row_index"),
@@ -75,12 +88,11 @@ def mark_test_rows(
     df: DataFrame, key: str, test_percent: int = 30, seed: int = 42
 ) -> DataFrame:
     """Add `is_test`: exactly trunc(N * percent / 100) rows, chosen by hash."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    size = F.floor(total * F.lit(test_percent) / F.lit(100))
+    size = F.floor(F.col("__total") * F.lit(test_percent) / F.lit(100))
     return (
-        with_dense_index(df, key, seed)
+        with_dense_index(df, key, seed, total="__total")
         .withColumn("is_test", F.col("row_index") <= size)
-        .drop("row_index")
+        .drop("row_index", "__total")
     )
 
 
