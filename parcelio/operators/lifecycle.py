@@ -18,15 +18,50 @@ EXTRA_SEMESTERS = 2
 REGIMES_WITH_EXTRA = ("I", "II")
 GRACE_SEMESTERS = 3
 
+# Terms of a regime that are attached to its contracts.
+TERMS = ("carencia", "amortizacao", "pgto_juros", "percent_garantia")
+
+# Regimes that are written into the plan as conditions.
+LITERAL_REGIMES = 16
+
 # Rows of a lookup table that every executor may hold: about 270 years of days.
 CALENDAR_LIMIT = 100_000
 
 
+def assign_regime(
+    contracts: DataFrame, regimes: DataFrame, catch_all: str = CATCH_ALL_REGIME
+) -> DataFrame:
+    """Attach the regime in force on the signing date, and its terms.
+
+    Dates outside every period take `catch_all`; a missing date stays without
+    regime. Where periods overlap, the one that starts first wins. A handful of
+    regimes becomes plain conditions of the plan, without a join; a longer
+    table is joined.
+    """
+    rows = regimes.orderBy("inicio").limit(LITERAL_REGIMES + 1).collect()
+    if len(rows) > LITERAL_REGIMES:
+        return join_regimes(contracts, regimes, catch_all)
+    signed = F.col("dt_assinatura_contrato")
+    name = F.lit(catch_all)
+    for row in reversed(rows):
+        in_force = signed.between(F.lit(row["inicio"]), F.lit(row["fim"]))
+        name = F.when(in_force, row["tipo_regencia"]).otherwise(name)
+    named = contracts.withColumn("tipo_regencia", propagate_null(signed, name))
+    terms = {}
+    for term in TERMS:
+        value = F.lit(None)
+        for row in reversed(rows):
+            same = F.col("tipo_regencia") == row["tipo_regencia"]
+            value = F.when(same, F.lit(row[term])).otherwise(value)
+        terms[term] = value.cast(regimes.schema[term].dataType)
+    return named.withColumns(terms)
+
+
 def regime_calendar(regimes: DataFrame) -> DataFrame:
     """One row per day covered by a regime, so a period lookup is an equi-join.
 
     Its size is the number of calendar days covered, whatever the number of
-    contracts. Where periods overlap, the one that starts first wins.
+    contracts.
     """
     days = regimes.select(
         F.explode(F.sequence("inicio", "fim")).alias("dia"), "inicio", "tipo_regencia"
@@ -34,26 +69,24 @@ def regime_calendar(regimes: DataFrame) -> DataFrame:
     return days.groupBy("dia").agg(F.min_by("tipo_regencia", "inicio").alias("regime_do_dia"))
 
 
-def assign_regime(
+def join_regimes(
     contracts: DataFrame, regimes: DataFrame, catch_all: str = CATCH_ALL_REGIME
 ) -> DataFrame:
-    """Attach the regime in force on the signing date, and its terms.
+    """`assign_regime` for any number of regimes.
 
-    Dates outside every period take `catch_all`; a missing date stays without
-    regime. Contracts are not shuffled: both lookups are broadcast while the
-    regimes and the days they cover are few.
+    Both lookups are broadcast once their size is checked, so that contracts
+    are not shuffled by date.
     """
     signed = F.col("dt_assinatura_contrato")
     calendar = broadcast_if_small(regime_calendar(regimes), CALENDAR_LIMIT)
     dated = contracts.join(calendar, signed == F.col("dia"), "left").withColumn(
         "tipo_regencia",
         propagate_null(signed, F.coalesce(F.col("regime_do_dia"), F.lit(catch_all))),
-    ).drop("dia", "regime_do_dia")
-    terms = regimes.select(
-        "tipo_regencia", "carencia", "amortizacao", "pgto_juros", "percent_garantia"
     )
-    terms = broadcast_if_small(terms, CALENDAR_LIMIT)
-    return left_join_null_safe(dated, terms, {"tipo_regencia": "tipo_regencia"})
+    terms = broadcast_if_small(regimes.select("tipo_regencia", *TERMS), CALENDAR_LIMIT)
+    return left_join_null_safe(
+        dated.drop("dia", "regime_do_dia"), terms, {"tipo_regencia": "tipo_regencia"}
+    )
 
 
 def contract_lifecycle(contracts: DataFrame) -> DataFrame:

@@ -39,6 +39,18 @@ def test_regime_edges(spark):
     assert got == {day: (name, share[name]) for day, name in days.items()}
 
 
+def test_conditions_and_join_agree(spark, sf_dir):
+    rows = views.contracts(spark, sf_dir).unionByName(
+        contracts(spark, contract("0", None)).withColumn("cpf", F.col("cpf").cast("bigint"))
+    )
+    regimes = views.regimes(spark)
+    by_condition = lifecycle.assign_regime(rows, regimes)
+    by_join = lifecycle.join_regimes(rows, regimes)
+    assert by_condition.dtypes == by_join.dtypes
+    assert by_condition.exceptAll(by_join).count() == 0
+    assert by_join.count() == rows.count()
+
+
 def test_lifecycle_dates(spark):
     rows = contracts(spark, contract("a", date(2012, 9, 15)))
     r = provisioning.contract_terms(rows, views.regimes(spark)).first()
