@@ -135,6 +135,11 @@ NUMBER_COLUMNS = (
     "TaxaDeJuros", "idade", "QTD alunos por Mantenedora",
 )
 
+# Draws of the model sample, its test share and the cut-off.
+SAMPLE_SIZE = 593_883
+TEST_PERCENT = 30
+CUT_OFF = 0.35
+
 # Predictors of the full and of the final model.
 FULL_PREDICTORS = (
     "qtdsemestre_cat", "rendafamiliarmensalbruta_cat", "rendapessoalmensalbruta_cat",

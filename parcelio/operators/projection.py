@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelio.functions.dates import semester_starts
+from parcelio.functions.nulls import left_join_null_safe
 from parcelio.functions.numbers import clamp_negative, round_half_even
 
 # The projection horizon and the phase labels.
@@ -300,21 +301,13 @@ def opening_debt(
 ) -> DataFrame:
     """Attach the opening debt to the first semester and the amounts to all.
 
-    The join form of the seed of the recurrence, kept for grids that were built
-    elsewhere: a two-key join for the debt, a one-key join for the amounts.
+    The join form of the seed of the recurrence, for grids that were built
+    elsewhere. The opening debt belongs to one semester, the same for all
+    contracts, so the join on contract and semester and the join on contract
+    are one join and one condition.
     """
-    opening = contracts.select(
-        F.col("cpf").alias("__cpf"),
-        F.lit(start).alias("__cmpt"),
-        "valor_divida",
-    )
-    amounts = contracts.select(F.col("cpf").alias("__cpf2"), "vlr_semestre", "vlr_abatimento")
-    return (
-        grid.join(
-            opening,
-            grid["cpf"].eqNullSafe(F.col("__cpf")) & (grid["cmpt"] == F.col("__cmpt")),
-            "left",
-        )
-        .join(amounts, grid["cpf"].eqNullSafe(F.col("__cpf2")), "left")
-        .drop("__cpf", "__cmpt", "__cpf2")
+    amounts = contracts.select("cpf", "valor_divida", "vlr_semestre", "vlr_abatimento")
+    joined = left_join_null_safe(grid, amounts, {"cpf": "cpf"})
+    return joined.withColumn(
+        "valor_divida", F.when(F.col("cmpt") == F.lit(start), F.col("valor_divida"))
     )

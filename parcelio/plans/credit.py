@@ -1,12 +1,15 @@
-"""From a raw portfolio to the modelling table."""
+"""From a raw portfolio to a fitted and validated default model."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelio.functions.nulls import drop_null_rows
-from parcelio.operators import columns, features
+from parcelio.operators import columns, features, metrics, model, sampling
 from parcelio.operators import dictionaries as d
 
 
@@ -40,3 +43,64 @@ def model_table(portfolio: DataFrame, sponsors: DataFrame, courses: DataFrame) -
     coded = features.join_course_codes(clean_portfolio(portfolio, sponsors), courses)
     named = coded.withColumn("nome_curso_cat", features.canonical_course(F.col("NomeCurso")))
     return features.add_buckets(features.pool_rare(named))
+
+
+@dataclass(frozen=True)
+class Validation:
+    """A fitted model and its scored test rows.
+
+    `scored` holds `score`, the class at the cut-off (`predicted`) and the
+    response. The statistics are computed when asked for.
+    """
+
+    fitted: model.FittedModel
+    scored: DataFrame
+    response: str = "resposta"
+
+    def roc_curve(self) -> DataFrame:
+        return metrics.roc_curve(self.scored, "score", self.response)
+
+    def auc(self) -> DataFrame:
+        return metrics.auc(self.scored, "score", self.response)
+
+    def ks_two_sample(self) -> DataFrame:
+        return metrics.ks_two_sample(self.scored, "score", self.response)
+
+    def confusion_report(self) -> dict[str, float]:
+        return metrics.confusion_report(self.scored, "predicted", self.response)
+
+    def shares(self, column: str = "predicted") -> DataFrame:
+        return metrics.percent_table(self.scored, column)
+
+
+def split_sample(
+    table: DataFrame, key: str = "id", draws: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Mark the test rows of a table, or of `draws` bootstrap draws from it.
+
+    Draws may put copies of one contract in both parts, as the published model
+    did (`SAMPLE_SIZE` draws); a split of the table itself keeps them apart.
+    """
+    if draws is None:
+        return sampling.mark_test_rows(table, key, d.TEST_PERCENT, seed)
+    sample = sampling.bootstrap_sample(table, key, draws, seed).drop("row_index")
+    return sampling.mark_test_rows(sample, "draw", d.TEST_PERCENT, seed)
+
+
+def train_and_validate(
+    marked: DataFrame,
+    predictors: Sequence[str] = d.FINAL_PREDICTORS,
+    response: str = "resposta",
+    cut_off: float = d.CUT_OFF,
+) -> Validation:
+    """Fit on the training rows and score the test rows."""
+    typed = marked.withColumn(response, F.col(response).cast("double"))
+    fitted = model.fit_logit(typed.filter(~F.col("is_test")), response, predictors)
+    scored = model.score_contracts(typed.filter("is_test"), fitted)
+    predicted = metrics.threshold_class(F.col("score"), cut_off)
+    return Validation(fitted, scored.withColumn("predicted", predicted), response)
+
+
+def payer_scores(scored: DataFrame, key: str = "id") -> DataFrame:
+    """The score table the provisioning flow reads."""
+    return scored.select(F.col(key).alias("cpf"), "score")

@@ -237,3 +237,29 @@ def test_single_level_predictor_is_left_out(spark, signal):
     constant = signal.withColumn("one", F.lit("k"))
     frame = model.combinations(constant, "y", ["x", "one"])
     assert model.fit(frame, ["x", "one"]).predictors == ("x",)
+
+
+def test_whole_credit_flow(spark, sf_dir, signal):
+    from parcelio.plans import catalog, credit, provisioning, views
+
+    keyed = signal.withColumn("id", F.monotonically_increasing_id())
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/signal"
+    keyed.write.mode("overwrite").parquet(path)
+    table = spark.read.parquet(path)
+    for draws, rows in ((None, 6000), (1000, 300)):
+        marked = credit.split_sample(table, "id", draws)
+        result = credit.train_and_validate(marked, PREDICTORS, "y", cut_off=0.5)
+        assert result.scored.count() == rows
+        assert 0.62 < result.auc().first().auc < 0.85
+        report = result.confusion_report()
+        assert report["accuracy_lower"] < report["accuracy"] < report["accuracy_upper"]
+        assert result.ks_two_sample().first().p_value < 0.01
+        assert sum(r.percent for r in result.shares().collect()) == pytest.approx(100)
+    fitted = model.fit_logit(catalog._model_table(spark, sf_dir), "resposta", ["ufies_cat"])
+    scores = credit.payer_scores(
+        model.score_contracts(catalog._model_table(spark, sf_dir), fitted)
+    )
+    totals = provisioning.provision_all(
+        views.contracts(spark, sf_dir), scores, views.regimes(spark)
+    )
+    assert totals.count() == 26
