@@ -34,6 +34,7 @@ HEADLINE = (
     "keyword_search",
     "keyword_digest",
     "page_fields",
+    "programme_digest",
     "choropleth_join",
     "polygon_vertices",
 )

@@ -29,7 +29,7 @@ from parcelio.operators import (
     scenarios,
 )
 from parcelio.operators import dictionaries as d
-from parcelio.plans import credit, provisioning, views
+from parcelio.plans import credit, gazette, provisioning, views
 from parcelio.session import new_shared_path
 from parcelio.sources import database, delimited, sinks, tables
 
@@ -532,6 +532,15 @@ def page_fields(spark, sf_dir):
     return fields.select("page_id", "title", "summary", "href")
 
 
+def programme_digest(spark, sf_dir):
+    return gazette.programme_digest(views.source(spark, sf_dir, "pages"), KEYWORDS, n=3)
+
+
+def word_digest(spark, sf_dir):
+    pages = views.source(spark, sf_dir, "pages")
+    return gazette.word_digest(pages, F.lit(AS_OF), KEYWORDS[1], n=3)
+
+
 # Geography ------------------------------------------------------------------
 
 
@@ -705,6 +714,8 @@ QUERIES: dict[str, Query] = {
     "keyword_digest": keyword_digest,
     "single_digest": single_digest,
     "page_fields": page_fields,
+    "programme_digest": programme_digest,
+    "word_digest": word_digest,
     "municipal_value_join": municipal_value_join,
     "region_filter": region_filter,
     "choropleth_join": choropleth_join,

@@ -638,9 +638,36 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) AS position FROM found),
 shown AS (SELECT * FROM ranked WHERE position <= 5)"""
 
+PAGES = """
+keywords(k_order, keyword) AS (VALUES (1, 'the'), (2, 'que'), (3, 'und'), (4, 'zzzquux')),
+hits AS (
+  SELECT keyword, page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+         regexp_extract(html, '<p[^>]*>([^<]*)</p>', 1) AS summary,
+         row_number() OVER (PARTITION BY keyword ORDER BY page_id) AS position
+  FROM pages JOIN keywords ON contains(lower(html), keyword)),
+shown AS (SELECT * FROM hits WHERE position <= 3)"""
+
 _FOUND = _with(FOUND)
+_PAGES = _with(PAGES)
 
 DIGEST = {
+    "programme_digest": _PAGES + """
+, blocks AS (
+  SELECT keyword, string_agg(chr(10) || keyword || ' - ' || title || chr(10) || chr(10) || '* '
+                             || url || chr(10), '' ORDER BY position) AS block
+  FROM shown GROUP BY keyword)
+SELECT cast(k_order AS bigint) AS keyword_order, k.keyword,
+       CASE WHEN k_order = 1 THEN 'Portarias, Resoluções publicadas' || chr(10) ELSE '' END
+         AS header,
+       coalesce(block, chr(10) || k.keyword || ' - Não foram encontrados resultados que '
+                       || 'contenham as palavras-chave' || chr(10)) AS body
+FROM keywords k LEFT JOIN blocks b ON b.keyword = k.keyword""",
+    "word_digest": _PAGES + """
+SELECT 'Diário Oficial da União - 30 November 2018' || chr(10) || chr(10)
+       || 'Portarias, Resoluções publicadas' || chr(10) || chr(10)
+       || string_agg(chr(10) || chr(10) || ' *' || title || chr(10) || chr(10) || summary
+                     || chr(10) || chr(10) || 'Link - ' || url, '' ORDER BY position) AS body
+FROM shown WHERE keyword = 'que'""",
     "keyword_search": _FOUND + """
 SELECT k.keyword, count(doc_id) AS n_results
 FROM keywords k LEFT JOIN found f ON f.keyword = k.keyword GROUP BY k.keyword""",
