@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelio.functions.dates import age_years
-from parcelio.functions.nulls import left_join_null_safe, propagate_null
+from parcelio.functions.nulls import (
+    broadcast_if_small,
+    left_join_null_safe,
+    propagate_null,
+)
 from parcelio.functions.text import pad_left
 from parcelio.operators import dictionaries as d
+from parcelio.session import shared_folder
+
+# Course names that every executor may hold.
+NAME_LIMIT = 100_000
 
 
 def default_flag(days_late: Column, limit: int = 365) -> Column:
@@ -65,14 +73,17 @@ def pool_rare(
 ) -> DataFrame:
     """Attach the pooled course name and its risk group.
 
-    Names are counted with a map-side combine and only the counted names are
-    joined back, so a very common name never has to sit in one task. The risk
-    group depends on the name alone and is computed once per name.
+    Names are counted with a map-side combine. The counts are checkpointed, so
+    that their number is known before the join: while it is small they are
+    broadcast and the rows are not shuffled by name, of which a few may hold
+    most rows. The risk group is computed once per name.
     """
     pooled = F.when(F.col("count") < limit, d.RARE_NAME).otherwise(F.col(name))
     names = course_counts(df, name).select(name, pooled.alias("novo_curso"))
     names = names.withColumn("novo_curso2", course_group(F.col("novo_curso")))
-    return left_join_null_safe(df, names, {name: name})
+    shared_folder(df.sparkSession)
+    counted = broadcast_if_small(names.checkpoint(), NAME_LIMIT)
+    return left_join_null_safe(df, counted, {name: name})
 
 
 def remove_outliers(df: DataFrame, income_limit: float = 20000) -> DataFrame:

@@ -168,6 +168,18 @@ def test_rare_names_are_pooled(spark):
     }
 
 
+def test_hot_name_is_not_shuffled(spark):
+    hot = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, "DIREITO").otherwise(F.col("id").cast("string")).alias(
+            "nome_curso_cat"
+        )
+    )
+    pooled = features.pool_rare(hot)
+    assert "Exchange hashpartitioning" not in pooled._jdf.queryExecution().executedPlan().toString()
+    groups = {r.novo_curso: r["count"] for r in pooled.groupBy("novo_curso").count().collect()}
+    assert groups == {"DIREITO": 3000, "OUTROS": 6000}
+
+
 def test_positional_rename_checks_the_number(spark):
     with pytest.raises(ValueError):
         columns.rename_positional(spark.range(1).withColumn("b", F.lit(1)), ["a"])
