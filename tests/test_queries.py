@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from parcelio.plans import catalog, oracles
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = oracles.ORACLES
 MODEL_QUERIES = ("credit_model", "coef_table", "score_contracts")
 
 
@@ -16,7 +17,8 @@ def duck(sf_dir):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
     without = set(QUERIES) - set(ORACLES)
     assert without == {"credit_model", "coef_table", "stepwise_aic", "score_contracts"}
 
@@ -32,8 +34,6 @@ def test_model_queries_give_rows(name, spark, sf_dir):
 
 
 def test_scores_cover_every_row(spark, sf_dir):
-    from parcelio.plans import catalog
-
     scored = QUERIES["score_contracts"](spark, sf_dir)
     assert scored.count() == catalog._model_table(spark, sf_dir).count()
     assert scored.filter("score IS NULL").count() > 0
