@@ -127,10 +127,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(wanted: np.ndarray | None):
-    """In how many rows of a batch each term occurs."""
+    """In how many rows of a slice each term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in T.slices(batch)):
             words = T.words_of(*T.buffer_of(batch.column("text")), T.AT_MARK)
             term, row = words.hash, words.row
             if wanted is not None:

@@ -28,10 +28,14 @@ from parcelio.llm.shared import texts, written
 
 #: Most tokens in the table of frequent tokens that every task gets (8 bytes each).
 FREQUENT_TOKENS = 1 << 17
+#: Tokens of a run of rows; those that occur once in it aren't counted.
+RUN_TOKENS = 1 << 21
 #: A token joins that table from this many documents on.
 FREQUENT_FROM = 8
 #: Largest length step.
 STEP_LIMIT = 12
+#: Keys of classes to compare that every task may get (16 bytes each).
+WANTED_CLASSES = 1 << 18
 _TOP = np.uint64(1 << 63)
 _ROWS = "kind int, doc_id long, key long, n long"
 _POSTINGS = "token long, key long, info long"
@@ -43,16 +47,25 @@ def _batch(columns: dict[str, np.ndarray | pa.Array | list], types: list[pa.Data
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: each row's id, set key and size. Kind 1: tokens that a batch holds twice or more."""
+    """Kind 0: each row's id, set key and size. Kind 1: tokens that occur more than once in a run of rows."""
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    for batch in batches:
-        ids, sets = batch.column("doc_id"), T.shingle_sets(batch.column("text"))
-        keys = T.set_keys(sets).view(np.int64)
-        yield _batch({"kind": np.zeros(len(ids), np.int32), "doc_id": ids, "key": keys, "n": np.diff(sets.first)}, types)
-        token, many = np.unique(sets.token, return_counts=True)
+    seen: list[np.ndarray] = []
+
+    def repeated() -> pa.RecordBatch:
+        token, many = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
         token, many = token[many > 1], many[many > 1]
+        seen.clear()
         none = pa.nulls(len(token), pa.int64())
-        yield _batch({"kind": np.ones(len(token), np.int32), "doc_id": none, "key": token.view(np.int64), "n": many}, types)
+        return _batch({"kind": np.ones(len(token), np.int32), "doc_id": none, "key": token.view(np.int64), "n": many}, types)
+
+    for part in (part for batch in batches for part in T.slices(batch)):
+        ids, sets = part.column("doc_id"), T.shingle_sets(part.column("text"))
+        keys = T.set_keys(sets).view(np.int64)
+        yield _batch({"kind": np.zeros(len(ids), np.int32), "doc_id": ids, "key": keys, "n": np.diff(sets.first)}, types)
+        seen.append(sets.token)
+        if sum(map(len, seen)) >= RUN_TOKENS:
+            yield repeated()
+    yield repeated()
 
 
 def _step(cost: int, most: int) -> int:
@@ -66,8 +79,8 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for batch in batches:
-            sets = T.shingle_sets(batch.column("text"))
+        for part in (part for batch in batches for part in T.slices(batch)):
+            sets = T.shingle_sets(part.column("text"))
             keys = T.set_keys(sets)
             token, cost = sets.token & ~_TOP, np.zeros(len(sets.token), np.int64)
             if len(known) and len(token):
@@ -105,8 +118,8 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent tokens, at most FREQUENT_TOKENS, as arrays.
 
-    Tokens that occur once in a batch are not counted, so a count may be too low
-    by one for each batch; the order is the same everywhere all the same, which
+    Tokens that occur once in a run of rows are not counted, so a count may be
+    too low by one for each run; the order is the same everywhere all the same, which
     is all that the result depends on.
     """
     counted = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("df")).filter(F.col("df") >= FREQUENT_FROM)
@@ -159,15 +172,44 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_compare, "a long, b long").distinct()
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done: set[int] = set()
-    for batch in batches:
-        want = batch.column("key").to_pylist()
-        sets = T.shingle_sets(batch.column("text"))
-        keys = T.set_keys(sets).view(np.int64).tolist()
-        rows = [(k, sets.token[sets.first[i] : sets.first[i + 1]].tobytes()) for i, k in enumerate(keys) if k == want[i] and k not in done]
-        done.update(k for k, _ in rows)
-        yield _batch({"key": [k for k, _ in rows], "tokens": [t for _, t in rows]}, [pa.int64(), pa.binary()])
+def _whole_sets(keys: np.ndarray | None, reps: list | None):
+    """Sets of the wanted classes, each from the document that stands for it.
+
+    The wanted class of a row is its column `key`, or else looked up in `keys`
+    (ascending) with the standing documents' ids in `reps`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for part in (part for batch in batches for part in T.slices(batch)):
+            sets = T.shingle_sets(part.column("text"))
+            mine = T.set_keys(sets).view(np.int64)
+            if keys is None:
+                rows = np.flatnonzero(mine == part.column("key").to_numpy())
+            else:
+                ids, at = part.column("doc_id").to_pylist(), np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+                rows = [i for i in np.flatnonzero(keys[at] == mine).tolist() if ids[i] == reps[at[i]]] if len(keys) else []
+            found = {int(mine[i]): sets.token[sets.first[i] : sets.first[i + 1]].tobytes() for i in rows if int(mine[i]) not in done}
+            done.update(found)
+            yield _batch({"key": list(found), "tokens": list(found.values())}, [pa.int64(), pa.binary()])
+
+    return run
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`key` and `tokens` of every class in `pairs`.
+
+    Up to WANTED_CLASSES keys go to every task, which picks them out of the
+    documents; more are joined to the documents instead.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", "rep")
+    first = wanted.limit(WANTED_CLASSES + 1).toArrow().sort_by("key")
+    if first.num_rows <= WANTED_CLASSES:
+        found = docs.mapInArrow(_whole_sets(first["key"].to_numpy(), first["rep"].to_pylist()), "key long, tokens binary")
+    else:
+        rows = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("key", "text")
+        found = rows.mapInArrow(_whole_sets(None, None), "key long, tokens binary")
+    return written(found, "whole-sets")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -191,17 +233,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = written(postings.join(shared, "token").groupBy("token", "key").agg(F.min("info").alias("info")), "postings")
 
     classes = of_rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = classes.join(met.select("key").distinct(), "key")
-    sets = written(
-        docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("key", "text").mapInArrow(_whole_sets, "key long, tokens binary"),
-        "whole-sets",
-    )
 
     # The member with the fewest rarer tokens before this one is the most central.
     order = F.expr(f"({_place('info')[1]} << 33) | shiftrightunsigned(key, 31)")
     centre = met.withColumn("o", order).groupBy("token").agg(F.min_by("key", "o").alias("b"), F.min_by("info", "o").alias("ib"))
     star = met.join(centre, "token").filter("key <> b").filter(_meets("info", "ib"))
-    near = written(_verified(_matched(star.select(F.col("key").alias("a"), "b", F.col("info").alias("ia"), "ib")), sets), "links")
+    pairs = written(_matched(star.select(F.col("key").alias("a"), "b", F.col("info").alias("ia"), "ib")), "candidates")
+    near = written(_verified(pairs, _sets_of(docs, classes, pairs)), "links")
     labels = components(near)
 
     whose = met.join(labels.withColumnRenamed("node", "key"), "key", "left")
@@ -223,7 +261,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     left = whose.select("token", F.col("part").alias("p"), F.col("key").alias("a"), F.col("info").alias("ia"))
     right = whose.select("token", F.col("part").alias("q"), F.col("key").alias("b"), F.col("info").alias("ib"))
     rest = apart.join(left, ["token", "p"]).join(right, ["token", "q"]).filter(_meets("ia", "ib"))
-    far = _verified(_matched(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ia", "ib")), sets)
+    pairs = written(_matched(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ia", "ib")), "candidates")
+    far = _verified(pairs, _sets_of(docs, classes, pairs))
     far = far.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     far = far.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     bridges = written(far.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "bridges")

@@ -15,8 +15,13 @@ from parcelio.session import new_shared_path
 _shipped: set[str] = set()
 
 
+#: Text that a task handles at a time, so that its memory doesn't depend on the length of the rows.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and bounds Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -132,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(benchmark):
 
         def find(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for batch in batches for part in T.slices(batch)):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[row], index.ids[item], *best) for (row, item), best in _passages(index, batch.column("text")).items()]
                 columns = list(zip(*rows)) if rows else [[]] * 5
@@ -151,7 +151,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(benchmark):
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for batch in batches for part in T.slices(batch)):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[row for row, _ in _passages(index, batch.column("text"))]] = False
                 yield batch.filter(pa.array(clean))

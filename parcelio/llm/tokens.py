@@ -8,12 +8,14 @@ statement of the operators that use these hashes is up to that chance.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 WINDOW = 1 << 19
+SLICE_BYTES = 1 << 23
 _SPACES = [9, 10, 11, 12, 13, 32]
 
 
@@ -72,6 +74,17 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about SLICE_BYTES of text, so that memory stays bounded."""
+    _, offsets = buffer_of(batch.column(column))
+    first, rows = 0, batch.num_rows
+    while first < rows:
+        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        last = min(max(last, first + 1), rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, stops: np.ndarray = AT_SPACE) -> Words:
     """Every word of every row, in order."""
     if not len(data):
