@@ -96,7 +96,7 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
                 done.add(key)
                 n, by = b - a, np.argsort(token[a:b])
                 need = (3 * n + 3) // 4
-                base = n - need + 1
+                base = n // 7 + 1  # where documents of its own size must meet it
                 step = _step(int(cost[a:b][by[:base]].sum()), need)
                 first = by[: min(n, n - need + step)]
                 info = (n << 34) | (np.arange(len(first), dtype=np.int64) << 4) | step
@@ -248,12 +248,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     whose = written(whose.join(mixed, "token"), "mixed")
     size = F.expr(_place("info")[0])
     parts = whose.groupBy("token", "part").agg(
-        F.min(size).alias("low"), F.max(size).alias("high"), F.count("*").alias("c"), F.min("info").alias("info")
+        F.min(size).alias("low"), F.max(size).alias("high"), F.count("*").alias("c"), F.min("info").alias("info"),
+        # The least that a member's place exceeds its prefix by, in sevenths, against a document without tokens.
+        F.min(F.expr("7 * {1} - 4 * {0} - 7 * {2}".format(*_place("info")))).alias("over"),
     )
     pa_, pb = parts.alias("x"), parts.alias("y")
     apart = (
         pa_.join(pb, F.expr(
             "x.token = y.token AND x.part < y.part AND 4 * x.high >= 3 * y.low AND 4 * y.high >= 3 * x.low"
+            " AND x.over + 3 * y.low < 0 AND y.over + 3 * x.low < 0"
             f" AND (x.c > 1 OR y.c > 1 OR ({_meets('x.info', 'y.info')}))"
         ))
         .select(F.col("x.token").alias("token"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
