@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ BACKOFF = 0.4
 #: Longer n-grams with fewer occurrences are not in the count tables.
 CUTOFF = 2
 #: Bytes of text that a group, and an owner of a hash range, handles.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 8 << 20
 OWNER_BYTES = 8 << 20
 
 
@@ -42,21 +43,24 @@ def _grams(column: pa.Array, order: int) -> tuple[T.Words, list[tuple[np.ndarray
 def _planes(x: np.ndarray) -> bytes:
     """Ascending 64-bit values as differences, byte plane after byte plane, so that zeros lie together."""
     steps = np.diff(x, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), 1)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    steps = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
     return np.cumsum(steps, dtype=np.uint64)
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts, each in as few bytes as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+    """Counts in a byte each; those from 255 on follow in full."""
+    return zstandard.compress(np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes(), 1)
 
 
 def _from_small(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+    data = zstandard.decompress(data)
+    found = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    found[found == 255] = np.frombuffer(data, np.int64, offset=n)
+    return found
 
 
 def _order(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
