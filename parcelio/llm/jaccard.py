@@ -26,12 +26,12 @@ from parcelio.llm import tokens as T
 from parcelio.llm.components import components
 from parcelio.llm.shared import texts, written
 
-#: Most tokens in the table of frequent tokens that every task gets (8 bytes each).
-FREQUENT_TOKENS = 1 << 17
+#: Most tokens in the table of frequent tokens that every task gets (24 bytes each).
+FREQUENT_TOKENS = 1 << 18
 #: Tokens of a run of rows; those that occur once in it aren't counted.
 RUN_TOKENS = 1 << 21
 #: A token joins that table from this many documents on.
-FREQUENT_FROM = 8
+FREQUENT_FROM = 4
 #: Largest length step.
 STEP_LIMIT = 12
 #: Keys of classes to compare that every task may get (16 bytes each).
@@ -115,15 +115,31 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
     return emit
 
 
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The quarter of each distinct set's tokens with the smallest hashes."""
+    done: set[int] = set()
+    for part in (part for batch in batches for part in T.slices(batch)):
+        sets = T.shingle_sets(part.column("text"))
+        keys, found = T.set_keys(sets).tolist(), []
+        for key, a, b in zip(keys, sets.first[:-1].tolist(), sets.first[1:].tolist()):
+            if b > a and key not in done:
+                done.add(key)
+                found.append(sets.token[a : a + (b - a) // 4 + 1])
+        yield _batch({"key": np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)}, [pa.int64()])
+
+
+def _frequent(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent tokens, at most FREQUENT_TOKENS, as arrays.
 
-    Tokens that occur once in a run of rows are not counted, so a count may be
-    too low by one for each run; the order is the same everywhere all the same, which
-    is all that the result depends on.
+    Tokens with small hashes, which prefixes by hash alone would hold, are
+    counted exactly; of the others, those that occur once in a run of rows are
+    not counted, so a count may be too low by one for each run. The order is the
+    same everywhere all the same, which is all that the result depends on.
     """
-    counted = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("df")).filter(F.col("df") >= FREQUENT_FROM)
-    top = counted.orderBy(F.desc("df"), "key").limit(FREQUENT_TOKENS).toArrow()
+    exact = docs.mapInArrow(_smallest, "key long").groupBy("key").agg(F.count("*").alias("df"))
+    runs = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("df"))
+    counted = exact.filter(F.col("df") >= FREQUENT_FROM).unionAll(runs.filter(F.col("df") >= FREQUENT_FROM))
+    top = counted.groupBy("key").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "key").limit(FREQUENT_TOKENS).toArrow()
     token = top["key"].to_numpy().astype(np.int64).view(np.uint64)
     df = top["df"].to_numpy().astype(np.int64)
     rank = np.arange(len(token), 0, -1, dtype=np.int64)
@@ -227,7 +243,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     rows = written(docs.mapInArrow(_describe, _ROWS), "sets")
     of_rows = rows.filter("kind = 0")
-    frequent = _frequent(rows)
+    frequent = _frequent(docs, rows)
     postings = docs.mapInArrow(_postings(frequent), _POSTINGS)
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
     met = written(postings.join(shared, "token").groupBy("token", "key").agg(F.min("info").alias("info")), "postings")
