@@ -71,7 +71,7 @@ def _copy(epoch: int) -> Column:
     """The part of a document that one epoch takes: `epoch`, `words`, `position`."""
     begin = F.col("from") + F.col("source_size") * epoch
     words = F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size")).cast("long")
-    wanted = (begin + words / F.lit(2.0)) / F.col("target")
+    wanted = F.try_divide(begin + words / F.lit(2.0), F.col("target"))
     # By time t the share (1 - r) t + r t * t of the words is trained on; this is its inverse.
     rest, ramp = 1 - F.col("ramp"), F.col("ramp")
     time = 2 * wanted / (rest + F.sqrt(rest * rest + 4 * ramp * wanted))

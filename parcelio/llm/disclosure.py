@@ -171,7 +171,7 @@ def telling_terms(docs: DataFrame) -> DataFrame:
     counts = rows.select("text").mapInArrow(_document_counts(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     content = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
     mutual = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_value") * F.col("n_term").cast("double")))
-    told = both.join(counts, "term").join(values, "entity").filter(content > 0).withColumn("share", mutual / content)
+    told = both.join(counts, "term").join(values, "entity").filter(content > 0).withColumn("share", F.try_divide(mutual, content))
     told = told.filter(F.col("share") >= GENERALISE)
     told = told.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
     spans = contexts.join(told, ["entity", "term"]).select("mark", F.explode("places").alias("p"), "kind")
