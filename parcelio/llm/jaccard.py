@@ -275,11 +275,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             " AND x.over + 3 * y.low < 0 AND y.over + 3 * x.low < 0"
             f" AND (x.c > 1 OR y.c > 1 OR ({_meets('x.info', 'y.info')}))"
         ))
-        .select(F.col("x.token").alias("token"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+        .select(F.col("x.token").alias("token"), F.col("x.part").alias("p"), F.col("y.part").alias("q"), "y.low", "y.high")
     )
     left = whose.select("token", F.col("part").alias("p"), F.col("key").alias("a"), F.col("info").alias("ia"))
     right = whose.select("token", F.col("part").alias("q"), F.col("key").alias("b"), F.col("info").alias("ib"))
-    rest = apart.join(left, ["token", "p"]).join(right, ["token", "q"]).filter(_meets("ia", "ib"))
+    n, place, step = _place("ia")
+    fits = F.expr(f"4 * {n} >= 3 * low AND 4 * high >= 3 * {n} AND 7 * {place} - 4 * {n} - 7 * {step} + 3 * low < 0")
+    rest = apart.join(left, ["token", "p"]).filter(fits).join(right, ["token", "q"]).filter(_meets("ia", "ib"))
     pairs = written(_matched(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ia", "ib")), "candidates")
     far = _verified(pairs, _sets_of(docs, classes, pairs))
     far = far.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
