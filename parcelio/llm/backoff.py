@@ -26,7 +26,7 @@ BACKOFF = 0.4
 #: Longer n-grams with fewer occurrences are not in the count tables.
 CUTOFF = 2
 #: Bytes of text that a group, and an owner of a hash range, handles.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 12 << 20
 OWNER_BYTES = 8 << 20
 
 
