@@ -275,7 +275,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             " AND x.over + 3 * y.low < 0 AND y.over + 3 * x.low < 0"
             f" AND (x.c > 1 OR y.c > 1 OR ({_meets('x.info', 'y.info')}))"
         ))
-        .select(F.col("x.token").alias("token"), F.col("x.part").alias("p"), F.col("y.part").alias("q"), "y.low", "y.high")
+        # `p` is the side with fewer members: it is expanded first, against the sizes of the other.
+        .selectExpr(
+            "x.token AS token",
+            "if(x.c <= y.c, x.part, y.part) AS p",
+            "if(x.c <= y.c, y.part, x.part) AS q",
+            "if(x.c <= y.c, y.low, x.low) AS low",
+            "if(x.c <= y.c, y.high, x.high) AS high",
+        )
     )
     left = whose.select("token", F.col("part").alias("p"), F.col("key").alias("a"), F.col("info").alias("ia"))
     right = whose.select("token", F.col("part").alias("q"), F.col("key").alias("b"), F.col("info").alias("ib"))
