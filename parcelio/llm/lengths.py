@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelio.llm.shared import texts
+from parcelio.llm.shared import texts, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public vocabulary's texts are cut before merging (a fixed value).
@@ -61,6 +61,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     table gives no rows.
     """
     rows = lengths.filter("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    rows = written(rows, "lengths")  # read twice below, so that texts are encoded once
     rows = rows.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("total_tokens"), F.floor(F.col("n_tokens") / SPAN).alias("span"))
     spans = rows.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("total_tokens").alias("t"))
     after = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
