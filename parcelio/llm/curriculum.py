@@ -25,6 +25,8 @@ RAMPS = (-0.5, 0.0, 0.5)
 REPEAT_LIMIT = 3
 #: Hash digits that split a source into even groups for its running sums.
 GROUP_DIGITS = 3
+#: Columns that the training order has beside those of the documents.
+ADDED = ("mix_epoch", "mix_position")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -128,11 +130,12 @@ def training_order(docs: DataFrame) -> DataFrame:
 
     The one copy of a source that is cut holds its first words, separated by
     single spaces. Documents that the mix doesn't take, those without words
-    among them, are not in it.
+    among them, are not in it. Columns of `docs` named like the two new ones are
+    replaced.
     """
     copies = schedule(docs).select("row", "size", F.explode("copies").alias("copy"))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
     text = F.when(F.col("copy.words") < F.col("size"), first).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED]
     out = copies.select(*columns, F.col("copy.epoch").alias("mix_epoch"), F.col("copy.position").alias("mix_position"))
     return out.orderBy("mix_position", "doc_id", "mix_epoch")

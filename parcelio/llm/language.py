@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelio.llm.shared import ship, texts
+from parcelio.llm.shared import filtered, ship, texts
 
 #: Bytes of one language's dictionary, of one piece of it, and of one block of a text.
 DICTIONARY_BYTES = 1 << 16
@@ -137,11 +137,10 @@ def identify(docs: DataFrame, known: dict[str, bytes] | None = None, level: int
 def identified(docs: DataFrame, known: dict[str, bytes] | None = None, level: int = 5, margin: float = MARGIN) -> DataFrame:
     """The documents that `identify` doesn't reject, with all their columns."""
     known = dictionaries(docs) if known is None else known
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(known, level, margin)
         for batch in batches:
             yield batch.filter(pa.array([not judge(t)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,13 @@ def texts(docs: DataFrame) -> DataFrame:
     """`doc_id` and `text` alone, whatever else the table holds."""
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def filtered(docs: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows that `keep` passes on, with all columns; it finds `text`, and the others under other names.
+
+    Arrow functions can't take column names with dots, which a table may have.
+    """
+    ship(docs.sparkSession)
+    plain = docs.toDF(*[c if c == "text" else f"column{k}" for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelio.llm import tokens as T
-from parcelio.llm.shared import ship, texts
+from parcelio.llm.shared import filtered, ship, texts
 
 #: 1: the word counts; 0: it is ignored.
 MASKS = ("11101011011", "11011101011", "10110111011")
@@ -147,7 +147,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no passage with any item; all columns, null texts stay."""
-    ship(docs.sparkSession)
     for index in _indexes(benchmark):
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
@@ -156,5 +155,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean[[row for row, _ in _passages(index, batch.column("text"))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = filtered(docs, keep)
     return docs
