@@ -4,6 +4,9 @@ Personal data is found by fixed patterns. A term near a value is the more
 telling, the more of the value's information it carries: the pointwise mutual
 information of term and value, over documents, against the information content
 of the value. Terms above one threshold are generalised, above another removed.
+Most values stand in one or two documents, so no count is cut off; it is
+discounted instead, and each value also counts with others at its level: the
+domain of an address, the prefix of a number.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from parcelio.llm.shared import ship, written
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a value that are its context.
 CONTEXT = 8
-#: Documents in which term and value must meet, at least.
-SUPPORT = 3
+#: Taken off the documents in which term and value meet, and dealt to all by the value's share of documents.
+DISCOUNT = 0.75
 #: Shares of the value's information from which a term is generalised or removed.
 GENERALISE = 0.75
 REMOVE = 0.9
@@ -88,6 +91,17 @@ def _candidates(column: pa.Array) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, sign, side="right") - 1)
 
 
+def _entities(kind: int, value: str) -> tuple[int, int]:
+    """The value, and the level at which it recurs: domain, network, issuer, or number without its last four digits."""
+    if kind < 2:
+        value = value.lower()
+        level = value.rpartition("@" if kind == 0 else ".")[2 if kind == 0 else 0]
+    else:
+        value = re.sub("[^0-9]", "", value)
+        level = value[:6] if kind == 2 else value[:-4]
+    return _named(f"{kind}:{value}"), _named(f"{kind} in {level}")
+
+
 def _named(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
@@ -114,12 +128,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, term = start[where], end[where], words.hash[where].view(np.int64)
             found: dict[tuple[int, int], set[tuple[int, int]]] = {}
             for kind, a, b in spans:
-                value = text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b])
-                entity = _named(f"{kind}:{value}")
-                found[entity, None] = set()
                 before, after = np.searchsorted(start, a), np.searchsorted(start, b)
-                for k in (*range(max(0, before - CONTEXT), before), *range(after, min(len(start), after + CONTEXT))):
-                    found.setdefault((entity, int(term[k])), set()).add((int(start[k]), int(end[k])))
+                for entity in _entities(kind, text[a:b]):
+                    found.setdefault((entity, None), set())
+                    for k in (*range(max(0, before - CONTEXT), before), *range(after, min(len(start), after + CONTEXT))):
+                        found.setdefault((entity, int(term[k])), set()).add((int(start[k]), int(end[k])))
             out += [(mark, e, t, [{"start": a, "end": b} for a, b in sorted(p)]) for (e, t), p in found.items()]
         columns = list(zip(*out)) if out else [[]] * 4
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
@@ -153,8 +166,9 @@ def telling_terms(docs: DataFrame) -> DataFrame:
     """`mark` (md5 of a text) and `terms`: its telling terms as structs of kind, start and end.
 
     Counts are of documents, over the whole table. Kinds are `generalise` and
-    `remove`. Values met in fewer than SUPPORT documents have no telling terms;
-    nor has a value that all documents hold.
+    `remove`. A value's share of a term's documents is estimated by absolute
+    discounting, which holds for values and terms of a single document too. A
+    value that all documents hold has no telling terms.
     """
     rows = _marked(docs)
     ship(docs.sparkSession)
@@ -162,15 +176,16 @@ def telling_terms(docs: DataFrame) -> DataFrame:
         _contexts, "mark string, entity long, term long, places array<struct<start:int,end:int>>"
     )
     contexts = written(contexts.groupBy("mark", "entity", "term").agg(F.count("*").alias("n"), F.first("places").alias("places")), "contexts")
-    values = contexts.filter("term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_value")).filter(F.col("n_value") >= SUPPORT)
-    both = contexts.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    values = contexts.filter("term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_value"))
+    both = contexts.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
     both = written(both, "pairs")
     total = docs.count()
     wanted = both.select("term").distinct().orderBy("term").limit(TERM_LIMIT + 1).toArrow()["term"].to_numpy()
     known = None if len(wanted) > TERM_LIMIT else np.sort(wanted.astype(np.int64).view(np.uint64))
     counts = rows.select("text").mapInArrow(_document_counts(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    content = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
-    mutual = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_value") * F.col("n_term").cast("double")))
+    usual = F.col("n_value") / F.lit(float(max(total, 1)))
+    content = -F.log(usual)
+    mutual = F.log((F.col("n_both") - DISCOUNT + DISCOUNT * usual) / F.col("n_term") / usual)
     told = both.join(counts, "term").join(values, "entity").filter(content > 0).withColumn("share", F.try_divide(mutual, content))
     told = told.filter(F.col("share") >= GENERALISE)
     told = told.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))

@@ -152,3 +152,16 @@ def test_hashes_of_words_do_not_depend_on_their_place():
 
     words = lambda t: T.words_of(*T.buffer_of(pa.array(t))).hash.tolist()
     assert words(["one TWO", None, " two\tONE "]) == words(["one"]) + words(["two"]) * 2 + words(["One"])
+
+
+def test_values_of_one_or_two_documents_have_telling_terms(docs_of):
+    rows = [(1, "the zebra ann@one.org the"), (2, "the quokka bob@two.org the"), (3, "the quokka bob@two.org the")]
+    # Each address once, all of one domain, whose term stands in all its documents and in no other.
+    rows += [(10 + i, f"the wombat user{i}@same.net the") for i in range(4)]
+    rows += [(100 + i, "the rest") for i in range(2000)]
+    got = {r.doc_id: set(r.spans.split(",")) for r in disclosure.find_private(docs_of(rows)).collect()}
+    assert got[1] == {"email:10:21", "generalise:4:9"}
+    assert got[2] == got[3] == {"email:11:22", "remove:4:10"}
+    assert all("remove:4:10" in got[10 + i] for i in range(4)) and got[100] == {""}
+    clean = {r.doc_id: r.text for r in disclosure.sanitised(docs_of(rows)).collect()}
+    assert clean[1] == "the <TERM> <EMAIL> the" and clean[2] == "the  <EMAIL> the" and clean[100] == "the rest"
