@@ -1,6 +1,6 @@
 """Personal data, and the terms of the corpus that give it away.
 
-Personal data is found by fixed patterns. A term near a value is the more
+Personal data is found by fixed patterns. A term in a value's documents is the more
 telling, the more of the value's information it carries: the pointwise mutual
 information of term and value, over documents, against the information content
 of the value. Terms above one threshold are generalised, above another removed.
@@ -24,13 +24,13 @@ from parcelio.llm import tokens as T
 from parcelio.llm.shared import ship, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a value that are its context.
-CONTEXT = 8
 #: Taken off the documents in which term and value meet, and dealt to all by the value's share of documents.
 DISCOUNT = 0.75
 #: Shares of the value's information from which a term is generalised or removed.
 GENERALISE = 0.75
 REMOVE = 0.9
+#: Pairs of value and term that a task hands on at a time, about.
+PAIRS = 1 << 18
 #: Terms that a task looks for, at most (8 bytes each); with more, all terms are counted.
 TERM_LIMIT = 1 << 18
 
@@ -106,37 +106,72 @@ def _named(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`mark`, `entity`, `term`, `places`: each value's terms with their places; term null once for the value."""
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with personal data."""
     for batch in batches:
-        column, out = batch.column("text"), []
-        rows = _candidates(column)
-        chosen = column.take(pa.array(rows, pa.int64()))
-        marks = batch.column("mark").take(pa.array(rows, pa.int64())).to_pylist()
-        for text, mark in zip(chosen.to_pylist(), marks):
-            spans = base_spans(text)
-            if not spans:
-                continue
+        some = batch.take(pa.array(_candidates(batch.column("text")), pa.int64()))
+        yield some.filter(pa.array([bool(base_spans(t)) for t in some.column("text").to_pylist()], pa.bool_()))
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`mark`, `n`, `entity`: each text's distinct values and their levels."""
+    for batch in batches:
+        rows, held = [], []
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            found = {e for kind, a, b in base_spans(text) for e in _entities(kind, text[a:b])}
+            rows += [row] * len(found)
+            held += sorted(found)
+        part = batch.select(["mark", "n"]).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.int64())], ["mark", "n", "entity"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`mark`, `class`, `n_value`, `term`, `n`: each text's classes of values with each of its distinct words."""
+    for batch in (part for batch in batches for part in T.slices(batch)):
+        words = T.words_of(*T.buffer_of(batch.column("text")), T.AT_MARK)
+        begin = np.searchsorted(words.row, np.arange(batch.num_rows + 1))
+        out, many = [], 0
+        for row, classes in enumerate(batch.column("classes").to_pylist()):
+            terms = np.unique(words.hash[begin[row] : begin[row + 1]]).view(np.int64)
+            names = np.array([(c["class"], c["n_value"]) for c in classes], np.int64)
+            step = max(1, PAIRS // max(1, len(terms)))
+            for k in range(0, len(names), step):
+                some = names[k : k + step]
+                out.append((np.full(len(some) * len(terms), row), np.repeat(some, len(terms), axis=0), np.tile(terms, len(some))))
+                many += len(some) * len(terms)
+                if many >= PAIRS:
+                    yield _pair_batch(batch, out)
+                    out, many = [], 0
+        if out:
+            yield _pair_batch(batch, out)
+
+
+def _pair_batch(batch: pa.RecordBatch, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    row, names, term = (np.concatenate(x) for x in zip(*parts))
+    mark, n = batch.select(["mark", "n"]).take(pa.array(row)).columns
+    names = np.ascontiguousarray(names.T)
+    return pa.RecordBatch.from_arrays([mark, pa.array(names[0]), pa.array(names[1]), pa.array(term), n], ["mark", "class", "n_value", "term", "n"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`mark` and `terms`: every place of a text's telling terms that is not in a base span, by kind and start."""
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    for batch in batches:
+        out = []
+        for text, told in zip(batch.column("text").to_pylist(), batch.column("told").to_pylist()):
             data, offsets = T.buffer_of(pa.array([text]))
-            points = np.flatnonzero((data & 0xC0) != 0x80)
             words = T.words_of(data, offsets, T.AT_MARK)
+            points = np.flatnonzero((data & 0xC0) != 0x80)
             start, end = np.searchsorted(points, words.start), np.searchsorted(points, words.end)
             free = np.ones(len(start), bool)
-            for _, a, b in spans:
+            for _, a, b in base_spans(text):
                 free[np.searchsorted(end, a, side="right") : np.searchsorted(start, b)] = False
-            where = np.flatnonzero(free)
-            start, end, term = start[where], end[where], words.hash[where].view(np.int64)
-            found: dict[tuple[int, int], set[tuple[int, int]]] = {}
-            for kind, a, b in spans:
-                before, after = np.searchsorted(start, a), np.searchsorted(start, b)
-                for entity in _entities(kind, text[a:b]):
-                    found.setdefault((entity, None), set())
-                    for k in (*range(max(0, before - CONTEXT), before), *range(after, min(len(start), after + CONTEXT))):
-                        found.setdefault((entity, int(term[k])), set()).add((int(start[k]), int(end[k])))
-            out += [(mark, e, t, [{"start": a, "end": b} for a, b in sorted(p)]) for (e, t), p in found.items()]
-        columns = list(zip(*out)) if out else [[]] * 4
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["mark", "entity", "term", "places"])
+            kinds = {t["term"]: t["kind"] for t in told}
+            where = np.flatnonzero(free & np.isin(words.hash.view(np.int64), np.array(list(kinds), np.int64)))
+            term = words.hash[where].view(np.int64).tolist()
+            found = sorted(zip((kinds[t] for t in term), start[where].tolist(), end[where].tolist()))
+            out.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
+        yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(out, pa.list_(span))], ["mark", "terms"])
 
 
 def _document_counts(wanted: np.ndarray | None):
@@ -165,19 +200,26 @@ def _marked(docs: DataFrame) -> DataFrame:
 def telling_terms(docs: DataFrame) -> DataFrame:
     """`mark` (md5 of a text) and `terms`: its telling terms as structs of kind, start and end.
 
-    Counts are of documents, over the whole table. Kinds are `generalise` and
+    All counts are of whole documents, over the whole table, and a term that
+    tells of a value is marked wherever it stands in the value's documents
+    outside base spans. Kinds are `generalise` and
     `remove`. A value's share of a term's documents is estimated by absolute
     discounting, which holds for values and terms of a single document too. A
     value that all documents hold has no telling terms.
     """
     rows = _marked(docs)
     ship(docs.sparkSession)
-    contexts = rows.mapInArrow(
-        _contexts, "mark string, entity long, term long, places array<struct<start:int,end:int>>"
-    )
-    contexts = written(contexts.groupBy("mark", "entity", "term").agg(F.count("*").alias("n"), F.first("places").alias("places")), "contexts")
-    values = contexts.filter("term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_value"))
-    both = contexts.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
+    texts = rows.select("mark", "text").mapInArrow(_holding, "mark string, text string")
+    texts = written(texts.groupBy("mark").agg(F.count("*").alias("n"), F.first("text").alias("text")), "private-texts")
+    found = written(texts.mapInArrow(_values, "mark string, n long, entity long"), "values")
+    # Values of the same documents have the same counts with every term: one class stands for them.
+    first, second = (F.bit_xor(F.xxhash64("mark", F.lit(k))) for k in (1, 2))
+    values = found.groupBy("entity").agg(F.sum("n").alias("n_value"), F.xxhash64(first, second, F.count("*")).alias("class"))
+    classes = found.join(values, "entity").groupBy("mark", "class").agg(F.first("n_value").alias("n_value"))
+    classes = classes.groupBy("mark").agg(F.collect_list(F.struct("class", "n_value")).alias("classes"))
+    held = written(texts.join(classes, "mark"), "held")
+    pairs = held.mapInArrow(_pairs, "mark string, class long, n_value long, term long, n long")
+    both = pairs.groupBy("class", "term").agg(F.sum("n").alias("n_both"), F.first("n_value").alias("n_value"))
     both = written(both, "pairs")
     total = docs.count()
     wanted = both.select("term").distinct().orderBy("term").limit(TERM_LIMIT + 1).toArrow()["term"].to_numpy()
@@ -186,12 +228,13 @@ def telling_terms(docs: DataFrame) -> DataFrame:
     usual = F.col("n_value") / F.lit(float(max(total, 1)))
     content = -F.log(usual)
     mutual = F.log((F.col("n_both") - DISCOUNT + DISCOUNT * usual) / F.col("n_term") / usual)
-    told = both.join(counts, "term").join(values, "entity").filter(content > 0).withColumn("share", F.try_divide(mutual, content))
+    told = both.join(counts, "term").filter(content > 0).withColumn("share", F.try_divide(mutual, content))
     told = told.filter(F.col("share") >= GENERALISE)
-    told = told.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
-    spans = contexts.join(told, ["entity", "term"]).select("mark", F.explode("places").alias("p"), "kind")
-    spans = spans.groupBy("mark", F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(F.max("kind").alias("kind"))
-    return written(spans.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")), "terms")
+    told = told.select("class", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
+    terms = pairs.select("mark", "class", "term").join(told, ["class", "term"]).groupBy("mark", "term").agg(F.max("kind").alias("kind"))
+    terms = terms.groupBy("mark").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
+    terms = texts.select("mark", "text").join(terms, "mark").mapInArrow(_places, "mark string, terms array<struct<kind:string,start:int,end:int>>")
+    return written(terms, "terms")
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

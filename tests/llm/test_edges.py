@@ -165,3 +165,47 @@ def test_values_of_one_or_two_documents_have_telling_terms(docs_of):
     assert all("remove:4:10" in got[10 + i] for i in range(4)) and got[100] == {""}
     clean = {r.doc_id: r.text for r in disclosure.sanitised(docs_of(rows)).collect()}
     assert clean[1] == "the <TERM> <EMAIL> the" and clean[2] == "the  <EMAIL> the" and clean[100] == "the rest"
+
+
+def test_telling_terms_of_whole_documents(docs_of):
+    far = " ".join(["the"] * 30)
+    # The term is near the address in one of its documents only, and stands twice.
+    texts = [f"the wombat ann@one.org {far} wombat"] + [f"wombat {far} ann@one.org {far} wombat the"] * 3
+    rows = list(enumerate(texts)) + [(100 + i, "the rest") for i in range(200)]
+    got = {r.doc_id: set(r.spans.split(",")) for r in disclosure.find_private(docs_of(rows)).collect()}
+    for i, text in enumerate(texts):
+        at, again = text.index("wombat"), text.rindex("wombat")
+        assert {f"remove:{at}:{at + 6}", f"remove:{again}:{again + 6}"} <= got[i] and len(got[i]) == 3
+    clean = disclosure.sanitised(docs_of(rows)).collect()
+    assert not any("wombat" in r.text for r in clean) and len(clean) == len(rows)
+
+
+def test_telling_terms_against_counting(docs_of):
+    rng = random.Random(9)
+    mail = [f"u{i}@{d}.org" for i, d in enumerate("aabbbc")]
+    rows = []
+    for i in range(150):
+        held = rng.sample(mail, rng.choice([0, 0, 1, 3]))
+        words = [f"w{rng.randint(0, 25)}" for _ in range(8)] + [f"k{m[1]}" for m in held if rng.random() < 0.9]
+        rng.shuffle(words)
+        rows.append((i, " ".join([*words, *held])))
+    rows += rows[:20]  # equal texts count as documents each
+    words = [set(re.findall(r"[a-z0-9]+", t)) for _, t in rows]
+    entities = [{e for m in re.findall(r"\S+@\S+", t) for e in (m, m.split("@")[1])} for _, t in rows]
+    want = []
+    for (doc, text), mine in zip(rows, entities):
+        spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+@\S+", text)]
+        told = []
+        for m in re.finditer(r"(?<!\S)\w+(?!\S)", text):
+            best = 0
+            for e in mine:
+                usual = sum(e in x for x in entities) / len(rows)
+                both = sum(e in x and m[0] in w for x, w in zip(entities, words))
+                seen = (both - 0.75 + 0.75 * usual) / sum(m[0] in w for w in words)
+                best = max(best, np.log(seen / usual) / -np.log(usual))
+            if best >= 0.75:
+                told.append(("remove" if best >= 0.9 else "generalise", *m.span()))
+        want.append((doc, ",".join(spans + [f"{k}:{a}:{b}" for k, a, b in sorted(told)])))
+    assert sum("remove" in s or "generalise" in s for _, s in want) > 10
+    got = disclosure.find_private(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.spans) for r in got) == sorted(want)
