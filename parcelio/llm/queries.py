@@ -53,8 +53,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stupid-backoff score of every document."""
-    return backoff.score_documents(_table(spark, sf_dir, "documents"))
+    """The stupid-backoff score of every document, from the counts of all n-grams."""
+    return backoff.score_documents(_table(spark, sf_dir, "documents"), cutoff=1)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

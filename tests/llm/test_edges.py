@@ -209,3 +209,19 @@ def test_telling_terms_against_counting(docs_of):
     assert sum("remove" in s or "generalise" in s for _, s in want) > 10
     got = disclosure.find_private(docs_of(rows)).collect()
     assert sorted((r.doc_id, r.spans) for r in got) == sorted(want)
+
+
+def test_op6_counts_every_ngram(docs_of, monkeypatch):
+    from parcelio.llm import queries
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 25)))) for i in range(30)]
+    monkeypatch.setattr(queries, "_table", lambda *_: docs_of(rows))
+    got = {r.doc_id: r.log10_score for r in queries.op6_lm_scoring(None, "").collect()}
+    texts = [t.split() for _, t in rows]
+    count = lambda g: sum(w[i : i + len(g)] == g for w in texts for i in range(len(w)))
+    total = sum(map(len, texts))
+    for (doc, _), w in zip(rows, texts):
+        # Every n-gram of the corpus is known, so the longest one always scores.
+        want = [count(w[max(0, i - 2) : i + 1]) / (count(w[max(0, i - 2) : i]) if i else total) for i in range(len(w))]
+        assert got[doc] == pytest.approx(float(np.log10(want).sum()))
