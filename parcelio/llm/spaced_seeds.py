@@ -66,15 +66,24 @@ def _index(items: pa.Table) -> Index:
 
 
 def _best(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
-    """Equal words, length and start of the best stretch that is long and equal enough."""
-    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    same = int(equal[start:end].sum())
-    if same < least or same < LEAST_SHARE * (end - start):
+    """Equal words, length and start of the stretch with most equal words, then fewest words, of those long and equal enough."""
+    place = np.flatnonzero(equal)
+    if len(place) < least:
         return None
-    return same, end - start, start
+    # A stretch is equal enough where the score doesn't fall from its start to its end.
+    share = round(100 * LEAST_SHARE)
+    score = np.concatenate([[0], np.cumsum(np.where(equal, 100 - share, -share))])
+    many = np.concatenate([[0], np.cumsum(equal)])
+    # From each new low on, the last place where the score is as high again; other starts gain nothing.
+    start = np.concatenate([[0], 1 + np.flatnonzero(score[1:] < np.minimum.accumulate(score)[:-1])])
+    high = np.maximum.accumulate(score[::-1])[::-1]
+    end = np.searchsorted(-high, -score[start], side="right") - 1
+    same = int((many[end] - many[start]).max())
+    if same < max(least, 1):
+        return None
+    size = place[same - 1 :] - place[: len(place) - same + 1] + 1
+    k = int(np.argmin(size))
+    return same, int(size[k]), int(place[k])
 
 
 def _passages(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[int, int, int]]:

@@ -225,3 +225,22 @@ def test_op6_counts_every_ngram(docs_of, monkeypatch):
         # Every n-gram of the corpus is known, so the longest one always scores.
         want = [count(w[max(0, i - 2) : i + 1]) / (count(w[max(0, i - 2) : i]) if i else total) for i in range(len(w))]
         assert got[doc] == pytest.approx(float(np.log10(want).sum()))
+
+
+def test_any_stretch_makes_a_passage(spark, docs_of):
+    rng = random.Random(12)
+    for _ in range(3000):
+        n, least = rng.randint(1, 30), rng.randint(1, 8)
+        likely = rng.random()
+        equal = np.array([rng.random() < likely for _ in range(n)])
+        found = [(int(equal[a:b].sum()), a - b, -a) for a in range(n) for b in range(a + 1, n + 1)]
+        found = [f for f in found if f[0] >= least and 5 * f[0] >= -4 * f[1]]
+        want = max(found, default=None)
+        assert spaced_seeds._best(equal, least) == (want and (want[0], -want[1], -want[2])), equal
+    words = [f"w{i}" for i in range(52)]
+    mine = [*words[:13], *["other"] * 6, *words[19:33], *["more"] * 6, *words[39:]]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = docs_of([(5, " ".join(mine)), (6, " ".join(words[:8] + mine[13:19] + words[8:]))])
+    hits = {r.doc_id: (r.n_equal, r.n_words, r.first_word) for r in spaced_seeds.contaminated(docs, bench).collect()}
+    assert hits[5] == (27, 33, 0) and hits[6] == (44, 44, 14)
+    assert spaced_seeds.decontaminated(docs, bench).count() == 0
