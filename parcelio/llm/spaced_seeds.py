@@ -3,12 +3,14 @@
 A seed is a fixed mask over consecutive words: some positions are hashed, others
 ignored, so that a substituted word there does not hide the passage. Training
 and test texts that share a seed's hash are laid on each other at that place,
-and the words around it are compared one by one.
+and the words around it are compared one by one. An item shorter than a mask is
+hashed as a whole, and found where all its words stand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +32,7 @@ _HITS = "doc_id long, item_id long, n_equal long, n_words long, first_word long"
 
 
 class Index(NamedTuple):
-    """Seed hashes in order with their item and place; the items' ids, words and bounds."""
+    """Seed hashes in order with their item and place; the items' ids, words and bounds; lengths of the short ones."""
 
     seed: np.ndarray
     item: np.ndarray
@@ -38,6 +40,7 @@ class Index(NamedTuple):
     ids: list
     word: np.ndarray
     first: np.ndarray
+    lengths: list
 
 
 def _seeds(words: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -53,16 +56,27 @@ def _seeds(words: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield T.mix(T.mix(total[at]) + np.uint64(number)), at
 
 
+def _runs(words: T.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word's index of every run of so many words within a row, apart from the seeds."""
+    token, at = T.joined(words, length)
+    return T.mix(token + np.uint64(len(MASKS) + length)), at
+
+
 def _index(items: pa.Table) -> Index:
     words = T.words_of(*T.buffer_of(items["text"]), T.AT_MARK)
     first = np.searchsorted(words.row, np.arange(items.num_rows + 1))
-    found = list(_seeds(words))
+    found, sizes = list(_seeds(words)), np.diff(first)
+    lengths = [k for k in np.unique(sizes).tolist() if 0 < k < len(MASKS[0])]
+    for k in lengths:
+        seed, at = _runs(words, k)
+        whole = sizes[words.row[at]] == k
+        found.append((seed[whole], at[whole]))
     seed = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
     at = np.concatenate([a for _, a in found]) if found else np.zeros(0, np.int64)
     by = np.argsort(seed, kind="stable")
     seed, at = seed[by], at[by]
     row = words.row[at]
-    return Index(seed, row, at - first[row], items["item_id"].to_pylist(), words.hash, first)
+    return Index(seed, row, at - first[row], items["item_id"].to_pylist(), words.hash, first, lengths)
 
 
 def _best(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
@@ -92,9 +106,14 @@ def _passages(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[int
     begin = np.searchsorted(words.row, np.arange(len(column) + 1))
     seen: set[tuple[int, int, int]] = set()
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for seed, at in _seeds(words) if len(index.seed) else ():
+    seeds = ((*found, False) for found in _seeds(words))
+    runs = ((*_runs(words, k), True) for k in index.lengths)
+    for seed, at, short in chain(seeds, runs) if len(index.seed) else ():
         left = np.minimum(np.searchsorted(index.seed, seed), len(index.seed) - 1)
         hit = np.flatnonzero(index.seed[left] == seed)
+        if short:  # one copy in a row is as good as another
+            in_row = T.mix(seed[hit] + words.row[at[hit]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            hit = hit[np.sort(np.unique(in_row, return_index=True)[1])]
         right = np.searchsorted(index.seed, seed[hit], side="right")
         for a, lo, hi in zip(at[hit].tolist(), left[hit].tolist(), right.tolist()):
             row = int(words.row[a])
@@ -132,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A
     passage has at least LEAST_WORDS equal words, or LEAST_SHARE of a shorter
     item's, and LEAST_SHARE of its words are equal. Items shorter than a mask
-    (11 words) are never found, nor are null and empty texts; equal stretches of
+    (11 words) are found by exact copies only, null and empty texts never; equal stretches of
     one item keep the first. Repeated document rows are found each; repeated
     items count once. Empty tables give no rows; other columns are ignored.
     """

@@ -244,3 +244,22 @@ def test_any_stretch_makes_a_passage(spark, docs_of):
     hits = {r.doc_id: (r.n_equal, r.n_words, r.first_word) for r in spaced_seeds.contaminated(docs, bench).collect()}
     assert hits[5] == (27, 33, 0) and hits[6] == (44, 44, 14)
     assert spaced_seeds.decontaminated(docs, bench).count() == 0
+
+
+def test_short_items_are_found_by_exact_copies(spark, docs_of):
+    items = {1: "What is the capital of France?", 2: "zebra", 3: "one two three four five six seven eight nine ten", 4: "?!"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [
+        (1, "so, what is THE capital of France"),
+        (2, "What is the great capital of France?"),
+        (3, "a zebra and a Zebra"),
+        (4, "zero one two three four five six seven eight nine ten eleven"),
+        (5, "one two three four five six seven eight nine"),
+        (6, "what is the capital"),
+        (7, None),
+    ]
+    # No copy reaches over the end of a row.
+    rows += [(8, "of France? What is the capital"), (9, "of France")]
+    hits = sorted(tuple(r) for r in spaced_seeds.contaminated(docs_of(rows), bench).collect())
+    assert hits == [(1, 1, 6, 6, 1), (3, 2, 1, 1, 1), (4, 3, 10, 10, 1)]
+    assert sorted(r.doc_id for r in spaced_seeds.decontaminated(docs_of(rows), bench).collect()) == [2, 5, 6, 7, 8, 9]
