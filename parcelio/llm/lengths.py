@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -17,21 +18,40 @@ from parcelio.llm.shared import texts, written
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public vocabulary's texts are cut before merging (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of white space longer than this is encoded apart: the cutting pattern would exhaust the stack on it.
+RUN_LENGTH = 100_000
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % RUN_LENGTH)
 #: Lengths that are summed together first, so that no window holds all lengths.
 SPAN = 1 << 10
 
 
 @lru_cache(maxsize=2)
-def _encoding(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
+def encoding(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
+    """The coder of a file of ranks."""
     ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line)}
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(coder: tiktoken.Encoding, text: str) -> list[int]:
+    """The text's token ids; a very long run of white space is no trouble.
+
+    PATTERN takes such a run as one piece, but for its last character where
+    something follows; so the run is merged alone and the rest goes on from
+    that character.
+    """
+    found, done = [], 0
+    for run in _RUN.finditer(text) if len(text) >= RUN_LENGTH else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found += coder.encode_ordinary(text[done : run.start()]) + coder._encode_single_piece(text[run.start() : end])
+        done = end
+    return found + coder.encode_ordinary(text[done:])
+
+
 def _lengths(vocabulary: bytes, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoding(vocabulary, pattern)
+        coder = encoding(vocabulary, pattern)
         for batch in batches:
-            many = np.fromiter((len(coder.encode_ordinary(t.as_py() or "")) for t in batch.column("text")), np.int64, batch.num_rows)
+            many = np.fromiter((len(encode(coder, t.as_py() or "")) for t in batch.column("text")), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(many)], ["doc_id", "n_tokens"])
 
     return run
@@ -45,7 +65,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> bytes:
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """`doc_id` and `n_tokens` of every row; null and empty texts have 0 tokens.
 
-    Strings that look like special tokens are ordinary text.
+    Strings that look like special tokens are ordinary text. Texts may be of any
+    length and hold runs of any length. Repeated rows are counted each; an empty
+    table gives no rows; other columns are ignored.
     """
     ranks = read_vocabulary(docs.sparkSession, vocabulary)
     return texts(docs).mapInArrow(_lengths(ranks, pattern), "doc_id long, n_tokens long")

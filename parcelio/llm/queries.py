@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelio.llm import (
     backoff,
+    crosstoken,
     curriculum,
     disclosure,
     jaccard,
@@ -77,6 +78,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of every document lie on each other."""
+    found = crosstoken.align_tokenizers(_table(spark, sf_dir, "documents"))
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 _ALL = (
     op1_warc_revisit_resolution,
     op2_quality_classifier,
@@ -88,6 +95,7 @@ _ALL = (
     op8_information_theoretic_pii,
     op9_source_mixing,
     op10_embedding_near_dedup,
+    op13_cross_tokenizer_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = dict(oracles.ORACLES)

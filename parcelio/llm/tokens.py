@@ -65,7 +65,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     if column.null_count:
         column = column.fill_null("")
-    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, places, data = column.buffers()

@@ -173,7 +173,7 @@ def test_lengths(spark, docs_of):
     rows = ODD + [(i, prose(RNG.randint(0, 30))) for i in range(50)]
     coded = lengths.encoded_lengths(docs_of(rows))
     many = sorted(r.n_tokens for r in coded.collect())
-    coder = lengths._encoding(lengths.read_vocabulary(spark, lengths.VOCABULARY), lengths.PATTERN)
+    coder = lengths.encoding(lengths.read_vocabulary(spark, lengths.VOCABULARY), lengths.PATTERN)
     assert many == sorted(len(coder.encode_ordinary(t or "")) for _, t in rows)
     histogram = lengths.length_histogram(coded)
     for r in histogram.collect():
