@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from parcelio.llm.licenses import PHRASES, TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op9_source_mixing"] = r"""
@@ -87,3 +89,31 @@ SELECT record_id, url, outcome,
       || CASE WHEN lm IS NULL THEN '' ELSE '; last-modified: ' || lm END END AS headers
 FROM outcomes
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEMPLATE_ROWS = ", ".join(f"('{label}', '{text.lower()}')" for text, label in TEMPLATES)
+_PHRASE_ROWS = ", ".join(f"('{label}', '{text}')" for text, label in PHRASES)
+
+#: Every block against every template, without any filter.
+ORACLES["op11_license_scan"] = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS words FROM documents),
+docs AS (SELECT *, len(words) AS n FROM split),
+phrases AS (SELECT label, string_split(text, ' ') AS w FROM (VALUES {_PHRASE_ROWS}) t(label, text)),
+places AS (
+  SELECT rid, label, unnest(list_filter(range(n), lambda i: words[i + 1:i + len(w)] = w)) AS place FROM docs, phrases),
+base AS (
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY rid),
+templates AS (SELECT label, list_distinct({_WORDS.format("text")}) AS tokens FROM (VALUES {_TEMPLATE_ROWS}) t(label, text)),
+starts AS (SELECT rid, words, unnest(range(greatest(ceil(n / 32)::BIGINT - 2, 0) + 1)) AS k FROM docs),
+blocks AS (SELECT rid, list_distinct(words[32 * k + 1:32 * k + 64]) AS block FROM starts),
+pairs AS (SELECT rid, label, len(tokens) AS size, len(list_intersect(block, tokens)) AS overlap FROM blocks, templates),
+hits AS (
+  SELECT rid, list(DISTINCT label) AS more, max(overlap / size) AS share FROM pairs WHERE 100 * overlap >= 80 * size GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+  round(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END, 6) AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN hits USING (rid)
+"""

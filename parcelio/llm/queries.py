@@ -13,9 +13,11 @@ from parcelio.llm import (
     jaccard,
     language,
     lengths,
+    licenses,
     oracles,
     pstable,
     quality,
+    repair,
     revisit,
     spaced_seeds,
 )
@@ -78,6 +80,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and contained license templates of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two tokenizers' tokens of every document lie on each other."""
     found = crosstoken.align_tokenizers(_table(spark, sf_dir, "documents"))
@@ -95,6 +107,8 @@ _ALL = (
     op8_information_theoretic_pii,
     op9_source_mixing,
     op10_embedding_near_dedup,
+    op11_license_scan,
+    op12_conversation_repair,
     op13_cross_tokenizer_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
