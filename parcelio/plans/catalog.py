@@ -467,7 +467,30 @@ def credit_model(spark, sf_dir):
 
 
 def coef_table(spark, sf_dir):
-    return model.coefficient_table(spark, _final_model(spark, sf_dir))
+    """The coefficients of the final model, saved to the shared folder and read back."""
+    path = new_shared_path(spark, "credit-model")
+    _final_model(spark, sf_dir).save(spark, path)
+    return model.coefficient_table(spark, model.FittedModel.load(spark, path))
+
+
+def score_balance(spark, sf_dir):
+    """Scores of the final model, added up over its training rows by level."""
+    train = _training_rows(spark, sf_dir).filter(~F.col("is_test"))
+    frame = model.combinations(train, "resposta", d.FINAL_PREDICTORS)
+    fitted = model.fit(frame, d.FINAL_PREDICTORS)
+    return portable(model.score_balance(frame, fitted, d.FINAL_PREDICTORS), rounded=3)
+
+
+def score_balance_copies(spark, sf_dir):
+    """The same with two predictors that depend on the others: a copy, and a coarser one."""
+    train = _training_rows(spark, sf_dir).filter(~F.col("is_test"))
+    train = train.withColumn("rate_copy", F.col("taxadejuros_cat")).withColumn(
+        "south", F.when(F.col("ufies_cat") == "c", "y").otherwise("n")
+    )
+    predictors = [*d.FINAL_PREDICTORS, "rate_copy", "south"]
+    frame = model.combinations(train, "resposta", predictors)
+    fitted = model.fit(frame, predictors)
+    return portable(model.score_balance(frame, fitted, predictors), rounded=3)
 
 
 def stepwise_aic(spark, sf_dir):
@@ -705,6 +728,8 @@ QUERIES: dict[str, Query] = {
     "percent_table": percent_table,
     "credit_model": credit_model,
     "coef_table": coef_table,
+    "score_balance": score_balance,
+    "score_balance_copies": score_balance_copies,
     "stepwise_aic": stepwise_aic,
     "score_contracts": score_contracts,
     "keyword_search": keyword_search,

@@ -499,6 +499,30 @@ SELECT draw, row_index, id, "DiasAtraso" FROM draws JOIN indexed ON pick = row_i
 SELECT id, CASE WHEN k <= n * 30 // 100 THEN 'test' ELSE 'train' END AS part FROM ranked""",
 }
 
+# By the likelihood equations, a fit's scores add up to the observed defaults of each level.
+_TRAIN = f"""
+WITH buckets AS ({CREDIT["feature_buckets"]}),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY md5(cast(id AS varchar) || ':42'), id) AS k,
+         count(*) OVER () AS n
+  FROM buckets),
+train AS (
+  SELECT *, taxadejuros_cat AS rate_copy, CASE WHEN ufies_cat = 'c' THEN 'y' ELSE 'n' END AS south
+  FROM ranked
+  WHERE k > n * 30 // 100 AND resposta IS NOT NULL
+    AND {" AND ".join(f"{p} IS NOT NULL" for p in d.FINAL_PREDICTORS)})"""
+
+
+def _balance(predictors: tuple[str, ...]) -> str:
+    return _TRAIN + f"""
+SELECT predictor, level, count(*) AS contracts, cast(sum(resposta) AS double) AS score_sum
+FROM train, LATERAL (VALUES {", ".join(f"('{p}', {p})" for p in predictors)}) v(predictor, level)
+GROUP BY 1, 2"""
+
+
+CREDIT["score_balance"] = _balance(d.FINAL_PREDICTORS)
+CREDIT["score_balance_copies"] = _balance((*d.FINAL_PREDICTORS, "rate_copy", "south"))
+
 # Files, text and dates of the source tables ---------------------------------
 
 PLAIN = {

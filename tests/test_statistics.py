@@ -239,6 +239,110 @@ def test_single_level_predictor_is_left_out(spark, signal):
     assert model.fit(frame, ["x", "one"]).predictors == ("x",)
 
 
+@pytest.fixture(scope="module")
+def copied(signal):
+    """The signal with a copy of a predictor, one coarser than another, and a level of its own."""
+    return signal.withColumns({
+        "x_copy": F.translate("x", "abc", "klm"),
+        "x_is_b": F.when(F.col("x") == "b", "yes").when(F.col("x").isNotNull(), "no"),
+        "joint": F.when((F.col("x") == "c") & (F.col("noise") == "v"), "both").when(F.col("x").isNotNull(), "other"),
+    })
+
+
+def test_dependent_columns_have_no_estimate(spark, copied, frame):
+    names = [*PREDICTORS, "x_copy", "x_is_b"]
+    fitted = model.fit_logit(copied, "y", names)
+    plain = model.fit(frame, PREDICTORS)
+    assert fitted.aliased == {("x_copy", "l"), ("x_copy", "m"), ("x_is_b", "yes")}
+    assert fitted.inference.rank == plain.inference.rank == 5
+    assert fitted.aic == pytest.approx(plain.aic, abs=1e-6)
+    table, want = ({r.term: r for r in model.coefficient_table(spark, f).collect()} for f in (fitted, plain))
+    assert set(table) - set(want) == {"x_copyl", "x_copym", "x_is_byes"}
+    for term, row in table.items():
+        if term in want:
+            assert tuple(row)[1:] == pytest.approx(tuple(want[term])[1:], rel=1e-6, abs=1e-9)
+            assert row.std_error > 0
+        else:
+            assert set(tuple(row)[1:]) == {None}
+    scored = model.score_contracts(model.score_contracts(copied, fitted), plain, "plain")
+    assert scored.agg(F.max(F.abs(F.col("score") - F.col("plain")))).first()[0] < 1e-9
+
+
+def test_first_of_two_copies_keeps_its_estimate(copied):
+    fitted = model.fit_logit(copied, "y", ["x_is_b", "x", "joint"])
+    # In model order x's level b repeats x_is_b; c is left.
+    assert fitted.aliased == {("x", "b")}
+
+
+def test_selection_ignores_a_copy(copied, frame):
+    chosen, steps = model.backward_aic(frame, PREDICTORS)
+    with_copy = model.combinations(copied, "y", [*PREDICTORS, "x_copy"])
+    again, more = model.backward_aic(with_copy, [*PREDICTORS, "x_copy"])
+    assert again.predictors == chosen.predictors
+    assert [d for _, d, _ in more] == [d for _, d, _ in steps]
+    assert [a for *_, a in more] == pytest.approx([a for *_, a in steps], abs=1e-6)
+
+
+def test_standard_errors_are_those_of_the_regression(spark, frame):
+    fitted = model.fit(frame, PREDICTORS)
+    ours = {r.term: r for r in model.coefficient_table(spark, fitted).collect()}
+    summary = fitted.pipeline.stages[-1].summary
+    terms = [p + v for p, v in [*fitted.terms(), (model.INTERCEPT, "")]]
+    for term, error, z, p in zip(terms, summary.coefficientStandardErrors, summary.tValues, summary.pValues):
+        assert ours[term].std_error == pytest.approx(error, rel=1e-6)
+        assert ours[term].z_value == pytest.approx(z, rel=1e-6)
+        assert ours[term].p_value == pytest.approx(p, rel=1e-4, abs=1e-12)
+
+
+def test_saved_model_keeps_its_inference(spark, copied, tmp_path):
+    fitted = model.fit_logit(copied, "y", [*PREDICTORS, "x_copy"])
+    fitted.save(spark, str(tmp_path / "m"))
+    stored = model.FittedModel.load(spark, str(tmp_path / "m"))
+    assert model.coefficient_table(spark, stored).collect() == model.coefficient_table(spark, fitted).collect()
+    assert (stored.aic, stored.aliased, stored.levels) == (fitted.aic, fitted.aliased, fitted.levels)
+    known = stored.inference
+    assert (known.covariance == fitted.inference.covariance).all() and known.rank == 5
+    assert (known.contracts, known.deviance) == (20000, fitted.inference.deviance)
+    path = f"{tmp_path}/m/inference"
+    spark.read.parquet(path).withColumn("version", F.lit(99)).write.parquet(f"{tmp_path}/other/inference")
+    for part in ("pipeline", "levels"):
+        (tmp_path / "other" / part).symlink_to(tmp_path / "m" / part)
+    with pytest.raises(ValueError, match="layout 99"):
+        model.FittedModel.load(spark, str(tmp_path / "other"))
+
+
+def test_scores_add_up_to_the_defaults_of_each_level(copied):
+    names = [*PREDICTORS, "x_copy", "joint"]
+    rows = model.combinations(copied.withColumn("one", F.lit("k")), "y", [*names, "one"])
+    fitted = model.fit(rows, names)
+    observed = {}
+    for p in [*names, "one"]:
+        for r in rows.groupBy(p).agg(F.sum(model.WEIGHT), F.sum(model.POSITIVES)).collect():
+            observed[p, r[0]] = (r[1], r[2])
+    got = {(r.predictor, r.level): (r.contracts, round(r.score_sum, 3)) for r in model.score_balance(rows, fitted, [*names, "one"]).collect()}
+    assert got == observed
+    # The sums tell a wrong coefficient: a ten-thousandth is enough.
+    effect = model.FittedModel.effects
+    other = type("Shifted", (model.FittedModel,), {"effects": lambda self: {k: v + 1e-4 * (k == ("x", "b")) for k, v in effect(self).items()}})
+    shifted = other(fitted.predictors, fitted.levels, fitted.pipeline, fitted.aic, fitted.aliased)
+    off = {(r.predictor, r.level): round(r.score_sum, 3) for r in model.score_balance(rows, shifted, names).collect()}
+    assert off["x", "b"] != observed["x", "b"][1]
+
+
+def test_independent_columns_of_random_indicators():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = np.hstack([np.ones((40, 1)), rng.integers(0, 2, (40, 6)).astype(float)])
+        for _ in range(rng.integers(0, 4)):
+            extra = x @ rng.integers(-1, 2, x.shape[1])
+            x = np.insert(x, rng.integers(1, x.shape[1] + 1), extra, axis=1)
+        ranks = [0, *(np.linalg.matrix_rank(x[:, : k + 1]) for k in range(x.shape[1]))]
+        want = [k for k in range(x.shape[1]) if ranks[k + 1] > ranks[k]]
+        assert model.independent_columns(x.T @ x) == want
+
+
 def test_whole_credit_flow(spark, sf_dir, signal):
     from parcelio.plans import catalog, credit, provisioning, views
 
