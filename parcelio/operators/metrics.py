@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICES = 1024
+from parcelio.session import shared_folder
+
+#: Ranges that a running sum is cut into, at least; more if the session has more shuffle partitions.
+LEAST_RANGES = 64
 
 
 def running_totals(
@@ -15,63 +18,41 @@ def running_totals(
 ) -> DataFrame:
     """Running sums of `measures` in the order of a distinct `value`.
 
-    A window without partitions would put every value in one task. Here the
-    values are cut into slices of equal width, and a slice that holds more than
-    its share is cut again, in proportion to its rows. Slice totals are summed
-    over a bounded number of slices; the windows inside the slices run in
-    parallel. Adds `run_<measure>` (up to and including the row).
+    A window without partitions would put every value in one task. Here Spark
+    deals the rows to ranges of the value, whose bounds it takes from a sample,
+    so that the ranges are even however the values are spread. The ranges are
+    checkpointed, because other bounds would be drawn if they were computed
+    again. Totals of the ranges, one row each, give the sum before each range;
+    the windows inside the ranges run in parallel. Adds `run_<measure>` (up to
+    and including the row). An unknown value comes first, or last if descending.
     """
-    v = F.col(value)
-    sign = -1 if descending else 1
-    span = df.agg(
-        F.struct(
-            F.min(value).cast("double").alias("lo"),
-            F.max(value).cast("double").alias("hi"),
-            F.count(F.lit(1)).alias("n"),
-        ).alias("span")
-    ).scalar()
-    coarse = _part(v, F.col("__span.lo"), F.col("__span.hi"), F.lit(_SLICES))
-    sliced = df.withColumn("__span", span).withColumn("__slice", coarse)
-    share = F.count(F.lit(1)) * F.lit(_SLICES) / F.first("__span.n")
-    cuts = sliced.groupBy("__slice").agg(
-        F.min(value).cast("double").alias("__lo"),
-        F.max(value).cast("double").alias("__hi"),
-        F.ceil(share).cast("int").alias("__parts"),
-    )
-    fine = (
-        sliced.join(cuts, "__slice")
-        .withColumn("__part", _part(v, F.col("__lo"), F.col("__hi"), F.col("__parts")))
-        .drop("__span", "__lo", "__hi", "__parts")
-    )
-    keys = ["__slice", "__part"]
-    totals = fine.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    before = Window.orderBy(*[F.col(k) * sign for k in keys]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    spark = df.sparkSession
+    ordered = F.col(value).desc() if descending else F.col(value).asc()
+    ranges = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared_folder(spark)
+    dealt = df.repartitionByRange(ranges, ordered)
+    dealt = dealt.withColumn("__range", F.spark_partition_id()).checkpoint()
+    totals = dealt.groupBy("__range").agg(*[F.sum(m).alias(m) for m in measures])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
+        "__range",
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__before_{m}") for m in measures],
     )
     inside = (
-        Window.partitionBy(*keys)
-        .orderBy(v.desc() if descending else v.asc())
+        Window.partitionBy("__range")
+        .orderBy(ordered)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        fine.join(offsets, keys)
+        dealt.repartitionByRange(ranges, "__range")
+        .join(F.broadcast(offsets), "__range")
         .withColumns(
             {f"run_{m}": F.sum(m).over(inside) + F.col(f"__before_{m}") for m in measures}
         )
-        .drop(*keys, *[f"__before_{m}" for m in measures])
+        .drop("__range", *[f"__before_{m}" for m in measures])
     )
 
 
-def _part(value: Column, low: Column, high: Column, parts: Column) -> Column:
-    """Which of `parts` equal parts of [low, high] holds `value`, from 0."""
-    place = F.floor((value - low) / (high - low) * parts)
-    return F.when(high > low, F.least(place, parts - 1)).otherwise(F.lit(0)).cast("int")
-
-
 def score_counts(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """Positives and negatives per distinct score; unknown scores are left out."""
     known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -193,7 +174,12 @@ def confusion_counts(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, predicted: str, actual: str) -> DataFrame:
-    """The four counts and the statistics that follow from them."""
+    """The four counts and the statistics that follow from them.
+
+    Among them the exact 95 % interval of the accuracy, the probability of as
+    many right answers at the no-information rate, and that of McNemar's
+    statistic; all are expressions over the one row of counts.
+    """
     counts = confusion_counts(df, predicted, actual)
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
@@ -202,15 +188,22 @@ def confusion_matrix(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     recall = F.try_divide(tp, tp + fn)
     specificity = F.try_divide(tn, tn + fp)
     correction = F.greatest(F.abs(fp - fn) - 1, F.lit(0.0))
+    chi2 = F.try_divide(correction * correction, fp + fn)
+    uninformed = F.try_divide(F.greatest(tp + fn, fp + tn), n)
+    low, high = exact_interval(tp + tn, n)
     return counts.select(
         "tp",
         "fp",
         "fn",
         "tn",
         right.alias("accuracy"),
-        F.try_divide(F.greatest(tp + fn, fp + tn), n).alias("no_information_rate"),
+        low.alias("accuracy_lower"),
+        high.alias("accuracy_upper"),
+        uninformed.alias("no_information_rate"),
+        upper_tail(tp + tn, n, uninformed).alias("accuracy_p_value"),
         F.try_divide(right - chance, 1 - chance).alias("kappa"),
-        F.try_divide(correction * correction, fp + fn).alias("mcnemar_chi2"),
+        chi2.alias("mcnemar_chi2"),
+        normal_tails(F.sqrt(chi2)).alias("mcnemar_p_value"),
         recall.alias("sensitivity"),
         specificity.alias("specificity"),
         F.try_divide(tp, tp + fp).alias("pos_pred_value"),
@@ -223,66 +216,114 @@ def confusion_matrix(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 
 def confusion_report(df: DataFrame, predicted: str, actual: str) -> dict[str, float]:
-    """The statistics of `confusion_matrix` with interval and p-values.
+    """The statistics of `confusion_matrix` as a dictionary."""
+    return confusion_matrix(df, predicted, actual).first().asDict()
 
-    Spark reduces the table to one row; the interval and the two p-values are
-    scalars computed from the four counts.
+
+def exact_interval(successes: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
+    """Clopper-Pearson interval of a proportion; unknown where there are no trials."""
+    tail = (1 - level) / 2
+    low = beta_quantile(F.lit(tail), successes, n - successes + 1)
+    high = beta_quantile(F.lit(1 - tail), successes + 1, n - successes)
+    return (
+        F.when(n == 0, None).when(successes == 0, 0.0).otherwise(low),
+        F.when(n == 0, None).when(successes == n, 1.0).otherwise(high),
+    )
+
+
+def upper_tail(successes: Column, n: Column, rate: Column) -> Column:
+    """Probability of at least so many successes in n trials."""
+    return F.when(n == 0, None).when(successes == 0, 1.0).otherwise(
+        incomplete_beta(successes, n - successes + 1, rate)
+    )
+
+
+def normal_tails(z: Column) -> Column:
+    """Probability that a standard normal value lies at least z from zero.
+
+    For a normal value, the square over two is gamma distributed with shape
+    one half; up to z = 2 by the series of that distribution, beyond by its
+    continued fraction.
     """
-    report = confusion_matrix(df, predicted, actual).first().asDict()
-    right = report["tp"] + report["tn"]
-    n = right + report["fp"] + report["fn"]
-    report["accuracy_lower"], report["accuracy_upper"] = exact_interval(right, n)
-    report["accuracy_p_value"] = (
-        incomplete_beta(right, n - right + 1, report["no_information_rate"]) if right else 1.0
+    x = z * z / 2
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(F.lit(2.0).alias("term"), F.lit(2.0).alias("total")),
+        lambda s, k: F.struct(
+            (s["term"] * x / (k + 0.5)).alias("term"),
+            (s["total"] + s["term"] * x / (k + 0.5)).alias("total"),
+        ),
+    )["total"]
+    fraction = F.aggregate(
+        F.sequence(F.lit(60), F.lit(1), F.lit(-1)),
+        F.lit(0.0),
+        lambda rest, k: k * (k - 0.5) / (x + 2 * k + 0.5 - rest),
     )
-    chi2 = report["mcnemar_chi2"]
-    report["mcnemar_p_value"] = None if chi2 is None else math.erfc(math.sqrt(chi2 / 2))
-    return report
+    front = F.exp(-x) * F.sqrt(x) / math.sqrt(math.pi)
+    return F.when(x < 2, 1 - front * series).otherwise(front / (x + 0.5 - fraction))
 
 
-def exact_interval(successes: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Clopper-Pearson interval of a proportion."""
-    tail = (1 - level) / 2
-    low = 0.0 if successes == 0 else _beta_quantile(tail, successes, n - successes + 1)
-    high = 1.0 if successes == n else _beta_quantile(1 - tail, successes + 1, n - successes)
-    return low, high
-
-
-def _beta_quantile(probability: float, a: float, b: float) -> float:
-    low, high = 0.0, 1.0
-    for _ in range(200):
-        middle = (low + high) / 2
-        if incomplete_beta(a, b, middle) < probability:
-            low = middle
-        else:
-            high = middle
-    return (low + high) / 2
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number, by Stirling's series from x + 8 on."""
+    y = x + 8
+    # The first terms of Stirling's series.
+    terms = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+    series = sum(
+        (F.lit(c) / F.pow(y, F.lit(2.0 * k + 1)) for k, c in enumerate(terms)), F.lit(0.0)
     )
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    fraction = d
-    for m in range(1, 100_000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    steps = sum((F.ln(x + k) for k in range(8)), F.lit(0.0))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function, by its continued fraction.
+
+    The fraction converges within a few times the square root of the parameters
+    where x is below (a + 1) / (a + b + 2); beyond, the mirrored function is taken.
+    It is evaluated from its end, so that no step divides by nothing.
+    """
+    a, b, x = (c.cast("double") for c in (a, b, x))
+    mirrored = x > (a + 1) / (a + b + 2)
+    given = F.struct(
+        F.when(mirrored, b).otherwise(a).alias("a"),
+        F.when(mirrored, a).otherwise(b).alias("b"),
+        F.when(mirrored, 1 - x).otherwise(x).alias("x"),
+    )
+    # One pass over a list of one keeps the parameters from being computed again at every step.
+    value = F.transform(F.array(given), lambda p: _beta_below(p["a"], p["b"], p["x"]))[0]
+    inside = F.when(mirrored, 1 - value).otherwise(value)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def _beta_below(a: Column, b: Column, x: Column) -> Column:
+    depth = (F.lit(40) + 4 * F.sqrt(F.greatest(a, b))).cast("int")
+
+    def step(rest: Column, m: Column) -> Column:
+        # Two terms for each m, the odd one innermost.
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1 + term * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + term / c
-            c = c if abs(c) > tiny else tiny
-            step = c * d
-            fraction *= step
-        if abs(step - 1) < 1e-15:
-            break
-    return math.exp(log_front) * fraction / a
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return even / (1 + odd / (1 + rest))
+
+    tail = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), F.lit(0.0), step)
+    first = -(a + b) * x / (a + 1)
+    front = log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x)
+    return F.exp(front) / a / (1 + first / (1 + tail))
+
+
+def beta_quantile(probability: Column, a: Column, b: Column) -> Column:
+    """Where the regularised incomplete beta function has this value, by bisection."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        below = incomplete_beta(a, b, middle) < probability
+        return F.struct(
+            F.when(below, middle).otherwise(s["low"]).alias("low"),
+            F.when(below, s["high"]).otherwise(middle).alias("high"),
+        )
+
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(56)),
+        F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")),
+        halve,
+    )
+    return (found["low"] + found["high"]) / 2

@@ -626,12 +626,38 @@ SELECT cast(n1 AS bigint) AS n1, cast(n0 AS bigint) AS n0, round(d, 9) AS d,
          FROM range(1, 101) r(k)) END, 9) AS p_value
 FROM tail""",
     "threshold_class": _SCORED + "SELECT doc_id, p, p_class FROM classed",
-    "confusion_matrix": _SCORED + """
+    "confusion_matrix": _SCORED.replace("WITH", "WITH RECURSIVE", 1) + """
 , x AS (SELECT *, cast(tp + fp + fn + tn AS double) AS n FROM cells),
-y AS (SELECT *, (tp + tn) / n AS acc,
-             ((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n) AS pe FROM x)
+y AS (SELECT *, (tp + tn) / n AS acc, tp + tn AS hits, greatest(tp + fn, fp + tn) / n AS nir,
+             pow(greatest(abs(fp - fn) - 1, 0), 2) / cast(fp + fn AS double) / 2 AS half,
+             ((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n) AS pe FROM x),
+ways AS (
+  SELECT cast(k AS double) AS k, n, hits,
+         lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) AS w
+  FROM y, range(0, 1 + cast(n AS bigint)) r(k)),
+bounds AS (
+  SELECT 0 AS i, 0e0 AS low_l, 1e0 AS low_h, 0e0 AS up_l, 1e0 AS up_h
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN a < 0.025e0 THEN (low_l + low_h) / 2 ELSE low_l END,
+         CASE WHEN a < 0.025e0 THEN low_h ELSE (low_l + low_h) / 2 END,
+         CASE WHEN b > 0.025e0 THEN (up_l + up_h) / 2 ELSE up_l END,
+         CASE WHEN b > 0.025e0 THEN up_h ELSE (up_l + up_h) / 2 END
+  FROM (
+    SELECT i, low_l, low_h, up_l, up_h,
+           sum(CASE WHEN k >= hits THEN exp(w + k * ln((low_l + low_h) / 2)
+             + (n - k) * ln(1 - (low_l + low_h) / 2)) ELSE 0e0 END) AS a,
+           sum(CASE WHEN k <= hits THEN exp(w + k * ln((up_l + up_h) / 2)
+             + (n - k) * ln(1 - (up_l + up_h) / 2)) ELSE 0e0 END) AS b
+    FROM bounds, ways WHERE i < 45 GROUP BY ALL) step)
 SELECT tp, fp, fn, tn, round(acc, 9) AS accuracy,
-       round(greatest(tp + fn, fp + tn) / n, 9) AS no_information_rate,
+       round(CASE WHEN hits = 0 THEN 0e0 ELSE low_l END, 9) AS accuracy_lower,
+       round(CASE WHEN hits = n THEN 1e0 ELSE up_l END, 9) AS accuracy_upper,
+       round((SELECT sum(exp(w + k * ln(nir) + (ways.n - k) * ln(1 - nir)))
+              FROM ways WHERE k >= ways.hits), 9) AS accuracy_p_value,
+       round(1 - (SELECT sum(exp((m + 0.5e0) * ln(half) - half - lgamma(m + 1.5e0)))
+                  FROM range(0, 2000) q(m)), 9) AS mcnemar_p_value,
+       round(nir, 9) AS no_information_rate,
        round((acc - pe) / (1 - pe), 9) AS kappa,
        round(pow(greatest(abs(fp - fn) - 1, 0), 2) / cast(fp + fn AS double), 9) AS mcnemar_chi2,
        round(tp / cast(tp + fn AS double), 9) AS sensitivity,
@@ -642,7 +668,7 @@ SELECT tp, fp, fn, tn, round(acc, 9) AS accuracy,
        round((tp + fp) / n, 9) AS detection_prevalence,
        round((tp / cast(tp + fn AS double) + tn / cast(tn + fp AS double)) / 2, 9)
          AS balanced_accuracy
-FROM y""",
+FROM y, (SELECT * FROM bounds ORDER BY i DESC LIMIT 1) last""",
     "contingency_table": _SCORED + """
 SELECT p_class, count(*) FILTER (y = 0) AS actual_0, count(*) FILTER (y = 1) AS actual_1
 FROM classed WHERE p_class IS NOT NULL GROUP BY p_class""",

@@ -101,12 +101,50 @@ def test_confusion_report(spark):
     assert report["accuracy_p_value"] == pytest.approx(tail, rel=1e-9)
 
 
-def test_exact_interval():
-    assert metrics.exact_interval(7, 10) == pytest.approx((0.3475471, 0.9332605), abs=1e-6)
-    assert metrics.exact_interval(0, 10) == pytest.approx((0.0, 0.3084971), abs=1e-6)
-    assert metrics.exact_interval(10, 10)[1] == 1.0
-    low, high = metrics.exact_interval(600_000_000, 1_000_000_000)
-    assert low < 0.6 < high and high - low < 1e-4
+def test_exact_interval(spark):
+    rows = [(7, 10), (0, 10), (10, 10), (600_000_000, 1_000_000_000), (0, 0), (70_000, 100_000)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "i int, x long, n long")
+    low, high = metrics.exact_interval(F.col("x"), F.col("n"))
+    found = {r.i: (r.low, r.high) for r in df.select("i", low.alias("low"), high.alias("high")).collect()}
+    assert found[0] == pytest.approx((0.3475471, 0.9332605), abs=1e-6)
+    assert found[1] == pytest.approx((0.0, 0.3084971), abs=1e-6)
+    assert found[2][1] == 1.0 and found[4] == (None, None)
+    assert found[3][0] < 0.6 < found[3][1] and found[3][1] - found[3][0] < 1e-4
+    assert found[5] == pytest.approx((0.6971486, 0.7028400), abs=2e-5)
+
+
+def test_tails_against_sums(spark):
+    rng = random.Random(1)
+    rows = [(x, n, rng.random()) for n in (1, 3, 20, 400) for x in {0, 1, n // 3, n - 1, n}]
+    rows += [(5, 10, 0.0), (5, 10, 1.0)]
+    df = spark.createDataFrame(rows, "x int, n int, p double")
+    got = df.select("x", "n", "p", metrics.upper_tail(F.col("x"), F.col("n"), F.col("p")).alias("t")).collect()
+    for r in got:
+        want = sum(math.comb(r.n, k) * r.p**k * (1 - r.p) ** (r.n - k) for k in range(r.x, r.n + 1))
+        assert r.t == pytest.approx(want, rel=1e-10, abs=1e-13)
+    z = spark.createDataFrame([(x / 10,) for x in range(0, 90)], "z double")
+    for r in z.select("z", metrics.normal_tails(F.col("z")).alias("t")).collect():
+        assert r.t == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-11)
+
+
+def test_statistics_of_one_class_and_of_nothing(spark):
+    none = spark.createDataFrame([], "p int, a int")
+    report = metrics.confusion_report(none, "p", "a")
+    assert report["tp"] == 0 and report["accuracy_lower"] is report["mcnemar_p_value"] is report["accuracy_p_value"] is None
+    right = metrics.confusion_report(spark.createDataFrame([(1, 1)] * 5, "p int, a int"), "p", "a")
+    assert right["accuracy_upper"] == 1.0 and right["accuracy_p_value"] == 1.0 and right["mcnemar_p_value"] is None
+
+
+def test_ranges_are_even_for_values_of_many_powers_of_ten(spark):
+    """Values over 300 powers of ten: a cut into parts of equal width would put all but a few in one."""
+    df = spark.range(20000).select(F.pow(F.lit(10.0), F.rand(3) * -300).alias("v"), F.lit(1).alias("one"))
+    df = df.groupBy("v").agg(F.sum("one").alias("one"))
+    for descending in (False, True):
+        running = metrics.running_totals(df, "v", ["one"], descending)
+        tasks = [r["count"] for r in running.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(tasks) <= 0.05 * sum(tasks)
+        order = sorted(running.collect(), key=lambda r: r.v, reverse=descending)
+        assert [r.run_one for r in order] == list(range(1, len(order) + 1))
 
 
 def test_percent_table(spark):
