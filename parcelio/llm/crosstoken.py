@@ -40,6 +40,8 @@ GROUP_BYTES = 32 << 20
 BRANCHES = 8
 #: Pairs whose counts a task holds while looking up (about 13 bytes each); more are looked up in several rounds.
 HELD_PAIRS = 1 << 23
+#: Bytes of text, or of token ids, that a task handles at a time.
+STEP_BYTES = 1 << 21
 #: Links that a task collects before it merges them.
 PENDING = 1 << 22
 
@@ -104,7 +106,7 @@ def encoded(docs: DataFrame, ranks: bytes, model: bytes, pattern: str = lengths.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coders(ranks, model, pattern)
         part, done = TaskContext.get().partitionId(), 0
-        for batch in (cut for batch in batches for cut in T.slices(batch)):
+        for batch in (cut for batch in batches for cut in T.slices(batch, size=STEP_BYTES)):
             n = batch.num_rows
             both = [encode_both(c, t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -165,7 +167,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _token_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield from T.slices(batch.set_column(batch.schema.get_field_index("a"), "a", batch.column("a").cast(pa.large_binary())), "a")
+    yield from T.slices(batch.set_column(batch.schema.get_field_index("a"), "a", batch.column("a").cast(pa.large_binary())), "a", STEP_BYTES)
 
 
 _LOCAL = "slice int, part long, keys binary, counts binary"

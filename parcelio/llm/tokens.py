@@ -74,12 +74,12 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE_BYTES of text, so that memory stays bounded."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `size` bytes of text, so that memory stays bounded."""
     _, offsets = buffer_of(batch.column(column))
     first, rows = 0, batch.num_rows
     while first < rows:
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), rows)
         yield batch.slice(first, last - first)
         first = last
