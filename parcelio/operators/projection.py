@@ -1,9 +1,10 @@
 """Semester grid, phase labels and the debt recurrence.
 
-The recurrence runs inside one row per contract: each semester is a pair of
-columns computed from the previous pair, so Spark compiles the whole horizon
-into one pass without a shuffle, and only then unfolds it to one row per
-semester.
+Within a phase every semester turns a debt D into g D + b, so n semesters turn
+it into g^n D + b (g^n - 1) / (g - 1). A contract's debts at the ends of its
+phases follow from each other in this way; a semester then needs the end of the
+phase before and its place in its own phase. There is neither an iteration nor
+a shuffle, and the plan is the same for any horizon.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ BOUNDARIES = (
 )
 
 _FAR = 1_000_000
-_PACKED = 9
 
 
 def grid_limits(lifecycle: DataFrame) -> DataFrame:
@@ -163,30 +163,83 @@ def _positions(start: date) -> dict[str, Column]:
     return positions
 
 
-def _steps(i: int, variant_four: bool) -> list[str]:
-    """Expressions for the debts of semester `i` from those of the one before.
+def _grown(debt: str, amount: str, n: str) -> str:
+    """A debt after n semesters of growth that each add an amount; no semester leaves it alone."""
+    added = f"CASE WHEN p_growth = 1 THEN {n} ELSE (pow(p_growth, {n}) - 1) / (p_growth - 1) END"
+    return f"CASE WHEN {n} <= 0 THEN {debt} ELSE {debt} * pow(p_growth, {n}) + {amount} * ({added}) END"
+
+
+#: Semesters of use and of grace from the second of the horizon on, as far as the debt is not yet
+#: settled; a semester of both is one of grace. Without use the pair is (2, 1), without grace the
+#: pair lies empty behind the use.
+_PERIODS = (
+    "greatest(p_in_carencia, 2) AS grace_in",
+    "least(p_fim_carencia, p_fim_amortizacao - 1) AS grace_out",
+    "greatest(p_in_utilizacao, 2) AS use_in",
+    "least(p_fim_utilizacao, p_fim_amortizacao - 1, "
+    "CASE WHEN grace_in <= grace_out THEN grace_in - 1 ELSE p_fim_utilizacao END) AS use_out",
+    "CASE WHEN use_in <= use_out THEN use_in ELSE 2 END AS use_from",
+    "CASE WHEN use_in <= use_out THEN use_out ELSE 1 END AS use_to",
+    "CASE WHEN grace_in <= grace_out THEN grace_in ELSE use_to + 1 END AS grace_from",
+    "CASE WHEN grace_in <= grace_out THEN grace_out ELSE use_to END AS grace_to",
+)
 
-    To the grown debt a semester of use adds a draw, a grace semester adds
-    nothing, and any other semester adds the (negative) cut of the variant.
-    Variant IV follows variant I through use and grace.
-    """
-    done = f"{i} >= p_fim_amortizacao"
-    grace = f"{i} BETWEEN p_in_carencia AND p_fim_carencia"
-    use = f"{i} BETWEEN p_in_utilizacao AND p_fim_utilizacao"
 
-    def step(variant: str, cut: str) -> str:
+def _ends(variant: str, cut: str) -> list[str]:
+    """Debts before use, after it, before grace and after it.
+
+    Outside use and grace each semester adds the (negative) cut of the variant,
+    a semester of use adds a draw, one of grace nothing.
+    """
+    return [
+        f"{_grown('p_seed', cut, '(use_from - 2)')} AS {variant}_1",
+        f"{_grown(f'{variant}_1', 'p_draw', '(use_to - use_from + 1)')} AS {variant}_2",
+        f"{_grown(f'{variant}_2', cut, '(grace_from - use_to - 1)')} AS {variant}_3",
+        f"{_grown(f'{variant}_3', '0e0', '(grace_to - grace_from + 1)')} AS {variant}_4",
+    ]
+
+
+def _ends_of_variant_four() -> list[str]:
+    """The same for variant IV, which is variant I at the ends of use and grace."""
+    cut = "p_cut_always"
+    return [
+        f"{_grown('p_seed', cut, '(use_from - 2)')} AS d4_1",
+        "CASE WHEN use_from <= use_to THEN d1_2 ELSE d4_1 END AS d4_2",
+        f"{_grown('d4_2', cut, '(grace_from - use_to - 1)')} AS d4_3",
+        "CASE WHEN grace_from <= grace_to THEN d1_4 ELSE d4_3 END AS d4_4",
+    ]
+
+
+def _debt_at(i: Column, variant: str, cut: str) -> Column:
+    """The debt of a variant in semester `i`."""
+    growth = F.col("p_growth")
+
+    def by_period(before, use, between, grace, after) -> Column:
         return (
-            f"{variant}_{i - 1} * p_growth + CASE WHEN {done} THEN {cut} WHEN {grace} THEN 0e0 "
-            f"WHEN {use} THEN p_draw ELSE {cut} END AS {variant}_{i}"
+            F.when(i < F.col("use_from"), before)
+            .when(i <= F.col("use_to"), use)
+            .when(i < F.col("grace_from"), between)
+            .when(i <= F.col("grace_to"), grace)
+            .otherwise(after)
         )
 
-    steps = [step("d1", "p_cut_full"), step("d2", "p_cut_shared")]
-    if variant_four:
-        steps.append(
-            f"CASE WHEN NOT ({done}) AND ({grace} OR {use}) THEN d1_{i} "
-            f"ELSE d4_{i - 1} * p_growth + p_cut_always END AS d4_{i}"
-        )
-    return steps
+    debt = by_period(F.col("p_seed"), *(F.col(f"{variant}_{k}") for k in (1, 2, 3, 4)))
+    amount = by_period(F.col(cut), F.col("p_draw"), F.col(cut), F.lit(0.0), F.col(cut))
+    last = by_period(
+        F.lit(1), F.col("use_from") - 1, F.col("use_to"), F.col("grace_from") - 1, F.col("grace_to")
+    )
+    n = i - last
+    power = F.pow(growth, n)
+    added = F.when(growth == 1, n.cast("double")).otherwise((power - 1) / (growth - 1))
+    return F.when(n <= 0, debt).otherwise(debt * power + amount * added)
+
+
+def _variant_four_at(i: Column) -> Column:
+    follows = i.between(F.col("use_from"), F.col("use_to")) | i.between(
+        F.col("grace_from"), F.col("grace_to")
+    )
+    own = _debt_at(i, "d4", "p_cut_always")
+    return F.when(follows, _debt_at(i, "d1", "p_cut_full")).otherwise(own)
 
 
 def project_debt(
@@ -199,54 +252,43 @@ def project_debt(
 ) -> DataFrame:
     """Debt of every contract in every semester of the horizon.
 
-    Input: life-cycle columns and `score`. Output: `keep`, `cmpt`, the phase
-    label and the positions within contract and phase, and the unsettled debts:
-    `d1` (variant I), `d2` (variant II), `d2_before` (variant II one semester
-    earlier) and, on request, `d4` (variant IV). A missing debt is NaN here.
+    Input: life-cycle columns, with use before grace, and `score`. Output:
+    `keep`, `cmpt`, the phase label and the positions within contract and phase,
+    and the unsettled debts: `d1` (variant I), `d2` (variant II), `d2_before`
+    (variant II one semester earlier) and, on request, `d4` (variant IV). A
+    missing debt is NaN here. The debt of the first semester is the opening
+    debt; variant IV follows variant I through use and grace.
     """
-    semesters = semester_starts(start, end)
-    variants = ["d1", "d2"] + (["d4"] if variant_four else [])
     positions = _positions(start)
     prepared = lifecycle.select(
         *keep,
         *[c.alias(n) for n, c in _amounts(threshold).items()],
         *[c.alias(n) for n, c in positions.items()],
     )
-    # Each expression names results of the semester before it; Spark resolves
-    # them within one selection. Finished semesters are packed into arrays, a
-    # few at a time, so that few values are alive at any step: Java compiles
-    # long argument lists badly.
-    steps = [f"p_seed AS {v}_1" for v in variants]
-    packed: dict[str, list[str]] = {v: [] for v in variants}
-    for i in range(1, len(semesters) + 1):
-        if i > 1:
-            steps += _steps(i, variant_four)
-        if i % _PACKED == 0 or i == len(semesters):
-            first = (i - 1) // _PACKED * _PACKED + 1
-            for v in variants:
-                values = ", ".join(f"{v}_{j}" for j in range(first, i + 1))
-                steps.append(f"array({values}) AS {v}_to_{i}")
-                packed[v].append(f"{v}_to_{i}")
-    chain = prepared.selectExpr("*", *steps).selectExpr(
-        *keep, *positions, *[f"concat({', '.join(p)}) AS {v}s" for v, p in packed.items()]
-    )
-    calendar = F.array(
-        *[
-            F.struct(F.lit(d).alias("cmpt"), F.lit(i).alias("id_cpf"))
-            for i, d in enumerate(semesters, start=1)
-        ]
-    )
-    at = F.col("id_cpf") - 1
-    unfolded = chain.select("*", F.inline(calendar)).select(
+    # An expression may name results of earlier ones of the same selection.
+    ends = [*_ends("d1", "p_cut_full"), *_ends("d2", "p_cut_shared")]
+    if variant_four:
+        ends += _ends_of_variant_four()
+    n_semesters = len(semester_starts(start, end))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(n_semesters))).alias("id_cpf")
+    unfolded = prepared.selectExpr("*", *_PERIODS, *ends).select("*", numbers)
+    i = F.col("id_cpf")
+    debts = {
+        "d1": _debt_at(i, "d1", "p_cut_full"),
+        "d2": _debt_at(i, "d2", "p_cut_shared"),
+        "d2_before": F.when(i > 1, _debt_at(i - 1, "d2", "p_cut_shared")),
+    }
+    if variant_four:
+        debts["d4"] = _variant_four_at(i)
+    projected = unfolded.select(
         *keep,
-        "cmpt",
+        F.add_months(F.lit(start), (i - 1) * 6).alias("cmpt"),
         "id_cpf",
         _label_by_position().alias("fase"),
         _position_in_phase().alias("id_fase"),
-        *[F.get(F.col(f"{v}s"), at).alias(v) for v in variants],
-        F.get(F.col("d2s"), at - 1).alias("d2_before"),
+        *[c.alias(n) for n, c in debts.items()],
     )
-    return within_limits(lifecycle, unfolded, start)
+    return within_limits(lifecycle, projected, start)
 
 
 def _label_by_position() -> Column:

@@ -9,11 +9,6 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-# The projection of a whole horizon compiles to one long method, which Java by
-# default leaves to its interpreter; this lets it compile such methods.
-JAVA_OPTIONS = "-XX:-DontCompileHugeMethods"
-
-
 def build_session(app: str = "parcelio", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; `conf` keys use `__` for dots."""
     builder = (
@@ -22,8 +17,6 @@ def build_session(app: str = "parcelio", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.extraJavaOptions", JAVA_OPTIONS)
-        .config("spark.executor.extraJavaOptions", JAVA_OPTIONS)
     )
     if master:
         builder = builder.master(master)

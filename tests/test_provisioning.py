@@ -1,5 +1,6 @@
 """Regimes, life-cycle and the recurrence, against plain arithmetic."""
 
+import random
 from datetime import date
 
 import pytest
@@ -132,6 +133,65 @@ def test_recurrence_matches_a_walk(spark):
             assert (r.id_cpf, r.id_fase) == (position, counter[r.fase])
 
 
+def test_long_horizon_matches_a_walk(spark):
+    """120 semesters, with rates from zero on; the plan has as many nodes as for two."""
+    rng = random.Random(8)
+    rows = [
+        contract(
+            str(i), date(rng.randint(2010, 2017), rng.randint(1, 12), 5),
+            rate=rng.choice([0.0, 0.5, 3.4, 6.5]), debt=rng.uniform(0, 50_000),
+            done=float(rng.choice([1, 3, 9])),
+        )
+        for i in range(60)
+    ] + [contract("long", date(2017, 6, 1), agreed=28.0)]
+    terms = provisioning.contract_terms(contracts(spark, *rows), views.regimes(spark))
+    terms = terms.withColumn("score", F.lit(0.2))
+    end = date(2077, 7, 1)
+    long = projection.project_debt(terms, provisioning.CARRIED, end=end, variant_four=True)
+    given = {r.cpf: r for r in terms.collect()}
+    found = {}
+    for r in projection.debt_columns(long).collect():
+        found.setdefault(r.cpf, []).append(r)
+    for cpf, got in found.items():
+        got.sort(key=lambda r: r.cmpt)
+        c = given[cpf]
+        series = walk(c.valor_divida, 1 + c.tx_juros / 200, c.vlr_semestre, c.vlr_abatimento,
+                      c.score, [r.fase for r in got])
+        for name, values in zip(("valor_divida", "valor_divida_II", "valor_divida_IV"), series):
+            for r, v in zip(got, values):
+                assert abs(r[name] - max(v, 0.0)) <= 0.5 + 1e-6 * abs(v)
+    assert max(len(g) for g in found.values()) > 50
+
+    def nodes(last):
+        plan = projection.project_debt(terms, ["cpf"], end=last)._jdf.queryExecution()
+        return len(plan.optimizedPlan().toString())
+
+    assert abs(nodes(end) - nodes(date(2018, 7, 1))) < 200
+
+
+def test_debts_equal_the_recurrence_on_all_rows(spark, sf_dir):
+    """Semester after semester by a running product of the steps, for every contract of the tables."""
+    terms = lifecycle.attach_scores(catalog._terms(spark, sf_dir), views.scores(spark, sf_dir))
+    debts = projection.debt_columns(projection.project_debt(terms, provisioning.CARRIED))
+    amounts = terms.select(
+        F.col("cpf").alias("key"), "valor_divida", "vlr_semestre", "vlr_abatimento"
+    ).withColumnRenamed("valor_divida", "opening")
+    series = (
+        debts.join(amounts, F.col("cpf") == F.col("key")).groupBy("cpf")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("cmpt", "fase", "valor_divida", "valor_divida_II"))).alias("rows"),
+            *[F.first(c).alias(c) for c in ("opening", "vlr_semestre", "vlr_abatimento", "tx_juros", "score")],
+        )
+    )
+    checked = 0
+    for r in series.collect():
+        expected = walk(r.opening, 1 + r.tx_juros / 200, r.vlr_semestre, r.vlr_abatimento, r.score, [x.fase for x in r.rows])
+        for name, values in zip(("valor_divida", "valor_divida_II"), expected):
+            assert [x[name] for x in r.rows] == [float(round(max(v, 0.0))) for v in values]
+            checked += len(values)
+    assert checked == 2 * debts.count()
+
+
 def test_phase_labels_of_both_forms_agree(spark, sf_dir):
     terms = lifecycle.attach_scores(
         catalog._terms(spark, sf_dir), views.scores(spark, sf_dir)
