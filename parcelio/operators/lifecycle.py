@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelio.functions.dates import add_semesters, half_year_floor
 from parcelio.functions.nulls import broadcast_if_small, left_join_null_safe, propagate_null
 from parcelio.functions.numbers import divide_or_null, round_half_even
+from parcelio.operators import intervals
 
 # Phase names, the regime used when no period matches, and the
 # extra amortisation semesters of the earlier regimes.
@@ -24,8 +25,8 @@ TERMS = ("carencia", "amortizacao", "pgto_juros", "percent_garantia")
 # Regimes that are written into the plan as conditions.
 LITERAL_REGIMES = 16
 
-# Rows of a lookup table that every executor may hold: about 270 years of days.
-CALENDAR_LIMIT = 100_000
+# Regimes whose terms every executor may hold.
+TERMS_LIMIT = 100_000
 
 
 def assign_regime(
@@ -34,17 +35,19 @@ def assign_regime(
     """Attach the regime in force on the signing date, and its terms.
 
     Dates outside every period take `catch_all`; a missing date stays without
-    regime. Where periods overlap, the one that starts first wins. A handful of
+    regime. A null start or end of a period is open. Where periods overlap, the
+    one that starts first wins. A handful of
     regimes becomes plain conditions of the plan, without a join; a longer
     table is joined.
     """
-    rows = regimes.orderBy("inicio").limit(LITERAL_REGIMES + 1).collect()
+    rows = regimes.orderBy("inicio", "tipo_regencia").limit(LITERAL_REGIMES + 1).collect()
     if len(rows) > LITERAL_REGIMES:
         return join_regimes(contracts, regimes, catch_all)
     signed = F.col("dt_assinatura_contrato")
     name = F.lit(catch_all)
     for row in reversed(rows):
-        in_force = signed.between(F.lit(row["inicio"]), F.lit(row["fim"]))
+        begun = F.lit(True) if row["inicio"] is None else signed >= F.lit(row["inicio"])
+        in_force = begun & (F.lit(True) if row["fim"] is None else signed <= F.lit(row["fim"]))
         name = F.when(in_force, row["tipo_regencia"]).otherwise(name)
     named = contracts.withColumn("tipo_regencia", propagate_null(signed, name))
     terms = {}
@@ -57,35 +60,26 @@ def assign_regime(
     return named.withColumns(terms)
 
 
-def regime_calendar(regimes: DataFrame) -> DataFrame:
-    """One row per day covered by a regime, so a period lookup is an equi-join.
-
-    Its size is the number of calendar days covered, whatever the number of
-    contracts.
-    """
-    days = regimes.select(
-        F.explode(F.sequence("inicio", "fim")).alias("dia"), "inicio", "tipo_regencia"
-    )
-    return days.groupBy("dia").agg(F.min_by("tipo_regencia", "inicio").alias("regime_do_dia"))
-
-
 def join_regimes(
     contracts: DataFrame, regimes: DataFrame, catch_all: str = CATCH_ALL_REGIME
 ) -> DataFrame:
-    """`assign_regime` for any number of regimes.
+    """`assign_regime` for any number of regimes, of any length, with open ends.
 
-    Both lookups are broadcast once their size is checked, so that contracts
-    are not shuffled by date.
+    Contracts are not shuffled while the periods are few; otherwise their
+    distinct dates are swept with the periods. The terms are broadcast once
+    their size is checked.
     """
     signed = F.col("dt_assinatura_contrato")
-    calendar = broadcast_if_small(regime_calendar(regimes), CALENDAR_LIMIT)
-    dated = contracts.join(calendar, signed == F.col("dia"), "left").withColumn(
+    named = regimes.select("inicio", "fim", F.col("tipo_regencia").alias("regime_do_dia"))
+    dated = intervals.lookup(
+        contracts, "dt_assinatura_contrato", named, "inicio", "fim", ["regime_do_dia"]
+    ).withColumn(
         "tipo_regencia",
         propagate_null(signed, F.coalesce(F.col("regime_do_dia"), F.lit(catch_all))),
     )
-    terms = broadcast_if_small(regimes.select("tipo_regencia", *TERMS), CALENDAR_LIMIT)
+    terms = broadcast_if_small(regimes.select("tipo_regencia", *TERMS), TERMS_LIMIT)
     return left_join_null_safe(
-        dated.drop("dia", "regime_do_dia"), terms, {"tipo_regencia": "tipo_regencia"}
+        dated.drop("regime_do_dia"), terms, {"tipo_regencia": "tipo_regencia"}
     )
 
 

@@ -21,6 +21,7 @@ from parcelio.operators import (
     digest,
     features,
     geo,
+    intervals,
     lifecycle,
     metrics,
     model,
@@ -76,6 +77,47 @@ def regime_assign(spark, sf_dir):
     )
 
 
+def _order_periods(spark, sf_dir):
+    """Every order as a period of its customer: some without end, some to the year 9999, some void."""
+    day = F.col("o_orderdate").cast("date")
+    key = F.col("o_orderkey")
+    end = (
+        F.when(key % 9 == 0, F.lit(None))
+        .when(key % 7 == 0, F.lit("9999-12-31").cast("date"))
+        .otherwise(F.date_add(day, ((key * 37) % 700 - 30).cast("int")))
+    )
+    return views.source(spark, sf_dir, "orders").select(
+        "o_custkey", F.when(key % 31 != 0, day).alias("begins"), end.alias("ends"), "o_orderkey"
+    )
+
+
+def interval_lookup(spark, sf_dir):
+    """The order in force for its customer 45 days after each order, or none."""
+    points = views.source(spark, sf_dir, "orders").select(
+        "o_custkey",
+        F.col("o_orderkey").alias("id"),
+        F.date_add(F.col("o_orderdate").cast("date"), 45).alias("asked"),
+    )
+    found = intervals.lookup(
+        points, "asked", _order_periods(spark, sf_dir), "begins", "ends", ["o_orderkey"],
+        by=["o_custkey"],
+    )
+    return portable(found)
+
+
+def interval_sweep(spark, sf_dir):
+    """The same for numbers without a key, by sweep: which part of the number line holds each line item."""
+    periods = views.source(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") * 4).alias("low"),
+        (F.col("o_orderkey") * 4 + F.col("o_custkey") % 9 - 1).alias("high"),
+        "o_orderkey",
+    )
+    points = views.source(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 4 + F.col("l_linenumber") - 2).alias("place")
+    )
+    return portable(intervals.lookup(points, "place", periods, "low", "high", ["o_orderkey"], few=0))
+
+
 def contract_lifecycle(spark, sf_dir):
     return portable(
         _terms(spark, sf_dir).select(
@@ -676,6 +718,8 @@ QUERIES: dict[str, Query] = {
     },
     "debt_projection": debt_projection,
     "regime_assign": regime_assign,
+    "interval_lookup": interval_lookup,
+    "interval_sweep": interval_sweep,
     "contract_lifecycle": contract_lifecycle,
     "score_attach": score_attach,
     "semester_grid": semester_grid,

@@ -499,6 +499,35 @@ SELECT draw, row_index, id, "DiasAtraso" FROM draws JOIN indexed ON pick = row_i
 SELECT id, CASE WHEN k <= n * 30 // 100 THEN 'test' ELSE 'train' END AS part FROM ranked""",
 }
 
+PROVISIONING["interval_lookup"] = """
+WITH periods AS (
+  SELECT o_custkey, o_orderkey,
+         coalesce(CASE WHEN o_orderkey % 31 <> 0 THEN cast(o_orderdate AS date) END, DATE '0001-01-01') AS begins,
+         CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 THEN DATE '9999-12-31'
+              ELSE cast(o_orderdate AS date) + cast(o_orderkey * 37 % 700 - 30 AS integer) END AS ends
+  FROM orders),
+points AS (
+  SELECT o_custkey, o_orderkey AS id, cast(o_orderdate AS date) + 45 AS asked FROM orders),
+hits AS (
+  SELECT p.id, q.o_orderkey,
+         row_number() OVER (PARTITION BY p.id ORDER BY q.begins, q.o_orderkey) AS k
+  FROM points p JOIN periods q ON p.o_custkey = q.o_custkey AND p.asked BETWEEN q.begins AND q.ends)
+SELECT o_custkey, p.id, cast(asked AS varchar) AS asked, h.o_orderkey
+FROM points p LEFT JOIN hits h ON h.id = p.id AND k = 1"""
+
+PROVISIONING["interval_sweep"] = """
+WITH periods AS (
+  SELECT o_orderkey * 4 AS low, o_orderkey * 4 + o_custkey % 9 - 1 AS high, o_orderkey FROM orders),
+points AS (
+  SELECT l_orderkey, cast(l_linenumber AS bigint) AS l_linenumber,
+         l_orderkey * 4 + l_linenumber - 2 AS place
+  FROM lineitem),
+hits AS (
+  SELECT p.l_orderkey, p.l_linenumber, min_by(q.o_orderkey, q.low) AS o_orderkey
+  FROM points p JOIN periods q ON q.low BETWEEN p.place - 8 AND p.place AND p.place BETWEEN q.low AND q.high
+  GROUP BY 1, 2)
+SELECT p.*, h.o_orderkey FROM points p LEFT JOIN hits h USING (l_orderkey, l_linenumber)"""
+
 # By the likelihood equations, a fit's scores add up to the observed defaults of each level.
 _TRAIN = f"""
 WITH buckets AS ({CREDIT["feature_buckets"]}),
