@@ -70,9 +70,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, ramps: Sequence[
 
 
 def _copy(epoch: int) -> Column:
-    """The part of a document that one epoch takes: `epoch`, `words`, `position`."""
+    """What one epoch takes of a document, all or nothing: `epoch`, `words`, `position`."""
     begin = F.col("from") + F.col("source_size") * epoch
-    words = F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size")).cast("long")
+    # Whole if its middle lies before the target's end, which leaves the source as near to its target as it can come.
+    words = F.when(2 * begin + F.col("size") <= 2 * F.floor("target"), F.col("size")).otherwise(0).cast("long")
     wanted = F.try_divide(begin + words / F.lit(2.0), F.col("target"))
     # By time t the share (1 - r) t + r t * t of the words is trained on; this is its inverse.
     rest, ramp = 1 - F.col("ramp"), F.col("ramp")
@@ -128,14 +129,11 @@ def taken(docs: DataFrame) -> DataFrame:
 def training_order(docs: DataFrame) -> DataFrame:
     """A row for each copy, sorted by position: the columns of `docs`, `mix_epoch`, `mix_position`.
 
-    The one copy of a source that is cut holds its first words, separated by
-    single spaces. Documents that the mix doesn't take, those without words
-    among them, are not in it. Columns of `docs` named like the two new ones are
+    Texts are whole and unchanged. Documents that the mix doesn't take, those
+    without words among them, are not in it. Columns of `docs` named like the two new ones are
     replaced.
     """
-    copies = schedule(docs).select("row", "size", F.explode("copies").alias("copy"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
-    text = F.when(F.col("copy.words") < F.col("size"), first).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED]
+    copies = schedule(docs).select("row", F.explode("copies").alias("copy"))
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED]
     out = copies.select(*columns, F.col("copy.epoch").alias("mix_epoch"), F.col("copy.position").alias("mix_position"))
     return out.orderBy("mix_position", "doc_id", "mix_epoch")

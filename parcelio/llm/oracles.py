@@ -32,9 +32,9 @@ strung AS (
     coalesce(sum(r.size) OVER (PARTITION BY r.k ORDER BY r.name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM rows_ r JOIN targets t USING (k)),
 copies AS (
-  SELECT *, least(greatest(floor(target)::BIGINT - ahead, 0), size) AS w0,
-    least(greatest(floor(target)::BIGINT - ahead - source_size, 0), size) AS w1,
-    least(greatest(floor(target)::BIGINT - ahead - 2 * source_size, 0), size) AS w2
+  SELECT *, CASE WHEN 2 * ahead + size <= 2 * floor(target) THEN size ELSE 0 END AS w0,
+    CASE WHEN 2 * (ahead + source_size) + size <= 2 * floor(target) THEN size ELSE 0 END AS w1,
+    CASE WHEN 2 * (ahead + 2 * source_size) + size <= 2 * floor(target) THEN size ELSE 0 END AS w2
   FROM strung),
 timed AS (SELECT *, (ahead + w0 / 2.0::DOUBLE) / target AS x, 1 - ramp AS a FROM copies)
 SELECT doc_id, size, source_size, target, (w0 + w1 + w2)::BIGINT AS taken,

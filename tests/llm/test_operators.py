@@ -158,15 +158,23 @@ def test_mix_meets_targets(docs_of):
     rows += [(900, prose(9), None, "tiny"), (901, None, None, "void"), (900, rows[0][1], None, "a")]
     got = curriculum.taken(docs_of(rows)).collect()
     assert len(got) == len(rows) and all(r.taken <= 3 * r["size"] for r in got)
-    by = collections.defaultdict(lambda: [0, 0.0, 0])
+    assert all(r.taken % max(r["size"], 1) == 0 for r in got)
+    by = collections.defaultdict(lambda: [0, 0])
     for r in got:
-        by[r.source_size, r.target][0] += r.taken
-    for (size, target), (words, *_) in by.items():
-        assert abs(words - target) < 1 and target <= 3 * size + 1e-9
+        of = by[r.source_size, r.target]
+        of[0], of[1] = of[0] + r.taken, max(of[1], r["size"])
+    for (size, target), (words, longest) in by.items():
+        assert abs(words - target) <= longest / 2 + 1 and target <= 3 * size + 1e-9
     assert abs(sum(t for _, t in by) - sum(s for s, _ in by)) < 1e-6
     order = curriculum.training_order(docs_of(rows)).collect()
     assert [r.mix_position for r in order] == sorted(r.mix_position for r in order)
     assert sum(len(r.text.split()) for r in order) == sum(r.taken for r in got)
+    given = {(r[0], r[1]) for r in rows}
+    assert all((r.doc_id, r.text) in given for r in order)
+    # Line breaks and all else stay, also in the last document of each source.
+    texts = [(i, f"first  line {i}\n\n second\tline ", None, "ab"[i % 2]) for i in range(11)]
+    kept = curriculum.training_order(docs_of(texts)).collect()
+    assert kept and all(r.text == texts[r.doc_id][1] for r in kept)
 
 
 def test_lengths(spark, docs_of):
