@@ -564,6 +564,18 @@ def keyword_matches(spark, sf_dir):
     return found.select("keyword", "doc_id")
 
 
+def keyword_table_search(spark, sf_dir):
+    """Keywords that are rows: beginnings of benchmark items, brands, and language codes."""
+    starts = F.substring("text", 1, 14)
+    parts = (
+        views.source(spark, sf_dir, "benchmark").select(starts.alias("keyword")),
+        views.source(spark, sf_dir, "part").select(F.col("p_brand").alias("keyword")),
+        views.source(spark, sf_dir, "documents").select(F.col("lang").alias("keyword")),
+    )
+    keywords = parts[0].unionAll(parts[1]).unionAll(parts[2]).filter(F.length("keyword") > 0)
+    return digest.table_counts(_documents(spark, sf_dir), "text", keywords)
+
+
 def keyword_no_match(spark, sf_dir):
     return digest.keywords_without_match(_documents(spark, sf_dir), "text", KEYWORDS)
 
@@ -663,6 +675,36 @@ def read_delim_ptbr(spark, sf_dir):
     return portable(delimited.read_semicolon(spark, path, schema), rounded=4)
 
 
+def _damaged_lines(spark, sf_dir):
+    """Portfolio lines with a damaged date, number or amount in some of them."""
+    path = new_shared_path(spark, "damaged")
+    key = F.col("id")
+    amount = sinks.comma_number(F.col("ValorFinanciadoSISFIES"))
+    rows = views.portfolio(spark, sf_dir).select(
+        F.when(key % 11 == 0, F.concat(F.lit("n"), key)).otherwise(key.cast("string")).alias("id"),
+        F.when(key % 7 == 0, F.lit("31/02/1990"))
+        .otherwise(F.date_format("DtNascimento", "dd/MM/yyyy"))
+        .alias("DtNascimento"),
+        F.when(key % 5 == 0, F.lit("NA")).when(key % 13 == 0, F.lit("muito")).otherwise(amount)
+        .alias("ValorFinanciadoSISFIES"),
+        F.when(key % 3 == 0, F.lit("NA")).otherwise(F.col("TipoGarantia")).alias("TipoGarantia"),
+    )
+    sinks.write_semicolon(rows, path)
+    schema = "id bigint, DtNascimento date, ValorFinanciadoSISFIES decimal(20,5), TipoGarantia string"
+    return delimited.read_checked(spark, path, schema, date_format=delimited.DAY_FIRST)
+
+
+def read_delim_rejects(spark, sf_dir):
+    """Every damaged field, by the first field of its line, with value and reason."""
+    faults = delimited.rejected(_damaged_lines(spark, sf_dir))
+    return faults.select(F.split("line", ";")[0].alias("line_id"), "column", "value", "reason")
+
+
+def read_delim_accepted(spark, sf_dir):
+    """The lines without any damage."""
+    return portable(delimited.accepted(_damaged_lines(spark, sf_dir)), rounded=4)
+
+
 def read_delim_latin1(spark, sf_dir):
     path = new_shared_path(spark, "latin1")
     rows = views.portfolio(spark, sf_dir).select("id", "NomeCurso", "DtNascimento")
@@ -778,6 +820,7 @@ QUERIES: dict[str, Query] = {
     "score_contracts": score_contracts,
     "keyword_search": keyword_search,
     "keyword_matches": keyword_matches,
+    "keyword_table_search": keyword_table_search,
     "keyword_no_match": keyword_no_match,
     "keyword_topn": keyword_topn,
     "keyword_digest": keyword_digest,
@@ -792,6 +835,8 @@ QUERIES: dict[str, Query] = {
     "category_hierarchy": category_hierarchy,
     "duplicate_names": duplicate_names,
     "read_delim_ptbr": read_delim_ptbr,
+    "read_delim_rejects": read_delim_rejects,
+    "read_delim_accepted": read_delim_accepted,
     "read_delim_latin1": read_delim_latin1,
     "read_regimes": read_regimes,
     "read_csv_drop_index": read_csv_drop_index,

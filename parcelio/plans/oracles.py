@@ -478,6 +478,22 @@ SELECT "CnpjMant", count(*) AS n FROM portfolio GROUP BY 1 HAVING count(*) > 1""
 SELECT id, "CnpjMant", cast("DtNascimento" AS varchar) AS "DtNascimento", "DiasAtraso",
        round("ValorFinanciadoSISFIES", 4) AS "ValorFinanciadoSISFIES", "TipoGarantia"
 FROM portfolio""",
+    "read_delim_rejects": _PORTFOLIO + """
+, lines AS (
+  SELECT *, CASE WHEN id % 11 = 0 THEN 'n' || id ELSE cast(id AS varchar) END AS line_id
+  FROM portfolio)
+SELECT line_id, 'id' AS "column", line_id AS value, 'not bigint' AS reason FROM lines WHERE id % 11 = 0
+UNION ALL
+SELECT line_id, 'DtNascimento', '31/02/1990', 'not date' FROM lines WHERE id % 7 = 0
+UNION ALL
+SELECT line_id, 'ValorFinanciadoSISFIES', 'muito', 'not decimal(20,5)'
+FROM lines WHERE id % 13 = 0 AND id % 5 <> 0""",
+    "read_delim_accepted": _PORTFOLIO + """
+SELECT id, cast("DtNascimento" AS varchar) AS "DtNascimento",
+       CASE WHEN id % 5 <> 0 THEN round("ValorFinanciadoSISFIES", 4) END AS "ValorFinanciadoSISFIES",
+       CASE WHEN id % 3 <> 0 THEN "TipoGarantia" END AS "TipoGarantia"
+FROM portfolio
+WHERE id % 11 <> 0 AND id % 7 <> 0 AND NOT (id % 13 = 0 AND id % 5 <> 0)""",
     "read_delim_latin1": _PORTFOLIO + """
 SELECT id, "NomeCurso", cast("DtNascimento" AS varchar) AS "DtNascimento" FROM portfolio""",
     "bootstrap_sample": _PORTFOLIO + """
@@ -603,12 +619,32 @@ WITH sizes AS (
 SELECT category, subcategory, cast(grouping(category, subcategory) AS bigint) AS level,
        sum(sales) AS sales
 FROM sizes GROUP BY ROLLUP (category, subcategory)""",
-    "page_fields": """
-SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-       regexp_extract(html, '<p[^>]*>([^<]*)</p>', 1) AS summary, url AS href
-FROM pages""",
 }
 
+
+def _inner(pattern: str) -> str:
+    """Text of what a pattern's first group takes from `page`: tags dropped, references decoded."""
+    text = f"regexp_extract(page, '{pattern}', 1)"
+    text = f"regexp_replace({text}, '(?i)<br\\s*/?>', ' ', 'g')"
+    text = f"regexp_replace({text}, '<[/!?a-zA-Z][^>]*>', '', 'g')"
+    for name, code in (("copy", 169), ("middot", 183), ("nbsp", 160), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+        text = f"replace({text}, '&{name};', chr({code}))"
+    return text
+
+
+_CLOSING = "p|div|ul|ol|dl|table|pre|form|hr|blockquote|article|section|aside|header|footer|nav|main|body|html|h[1-6]"
+PAGE_TEXTS = rf"""
+cleaned AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+    '(?s)<script[\s>].*?</script>', '', 'g'), '(?s)<style[\s>].*?</style>', '', 'g') AS page
+  FROM pages),
+page_texts AS (
+  SELECT *, {_inner("(?is)<title[^>]*>(.*?)</title>")} AS title,
+         {_inner(f"(?is)<p(?:[ \n][^>]*)?>(.*?)(?:</?(?:{_CLOSING})[ />]|$)")} AS summary
+  FROM cleaned)"""
+
+PLAIN["page_fields"] = _with(PAGE_TEXTS) + "SELECT page_id, title, summary, url AS href FROM page_texts"
+
 # Statistics -----------------------------------------------------------------
 
 SCORED = """
@@ -717,13 +753,12 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) AS position FROM found),
 shown AS (SELECT * FROM ranked WHERE position <= 5)"""
 
-PAGES = """
+PAGES = PAGE_TEXTS + """,
 keywords(k_order, keyword) AS (VALUES (1, 'the'), (2, 'que'), (3, 'und'), (4, 'zzzquux')),
 hits AS (
-  SELECT keyword, page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-         regexp_extract(html, '<p[^>]*>([^<]*)</p>', 1) AS summary,
+  SELECT keyword, page_id, url, title, summary,
          row_number() OVER (PARTITION BY keyword ORDER BY page_id) AS position
-  FROM pages JOIN keywords ON contains(lower(html), keyword)),
+  FROM page_texts JOIN keywords ON contains(lower(html), keyword)),
 shown AS (SELECT * FROM hits WHERE position <= 3)"""
 
 _FOUND = _with(FOUND)
@@ -750,6 +785,14 @@ FROM shown WHERE keyword = 'que'""",
     "keyword_search": _FOUND + """
 SELECT k.keyword, count(doc_id) AS n_results
 FROM keywords k LEFT JOIN found f ON f.keyword = k.keyword GROUP BY k.keyword""",
+    "keyword_table_search": """
+WITH keywords AS (
+  SELECT DISTINCT keyword FROM (
+    SELECT substr(text, 1, 14) AS keyword FROM benchmark
+    UNION ALL SELECT p_brand FROM part UNION ALL SELECT lang FROM documents) x
+  WHERE length(keyword) > 0)
+SELECT keyword, count(doc_id) AS n_results
+FROM keywords LEFT JOIN documents ON contains(lower(text), lower(keyword)) GROUP BY keyword""",
     "keyword_matches": _FOUND + "SELECT keyword, doc_id FROM found",
     "keyword_no_match": _FOUND + """
 SELECT keyword, 'Não foram encontrados resultados que contenham as palavras-chave' AS message

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,21 +37,114 @@ def read_semicolon(
     empty text. Spark reads both as null when told the marker, so the marker is
     resolved after the read. A field that is not of its type reads as null.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", ";")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("dateFormat", date_format)
-        .option("encoding", encoding)
-    )
-    if decimal_comma:
-        reader = reader.option("locale", "pt-BR")
+    options = _semicolon_options(date_format, encoding, decimal_comma)
+    reader = spark.read.option("header", True).options(**options)
     return _resolve_marker(reader.schema(schema).csv(path), null_value)
 
 
-def _resolve_marker(table: DataFrame, null_value: str) -> DataFrame:
-    texts = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+def _semicolon_options(date_format: str, encoding: str, decimal_comma: bool) -> dict[str, str]:
+    options = {
+        "sep": ";",
+        "ignoreLeadingWhiteSpace": "true",
+        "ignoreTrailingWhiteSpace": "true",
+        "dateFormat": date_format,
+        "encoding": encoding,
+    }
+    return options | ({"locale": "pt-BR"} if decimal_comma else {})
+
+
+#: What `read_checked` adds: the line, its file, and what is wrong with it.
+CHECKS = ("__line", "__file", "__rejects")
+
+
+def read_checked(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: str | T.StructType,
+    *,
+    null_value: str = "NA",
+    date_format: str = "yyyy-MM-dd",
+    encoding: str = "UTF-8",
+    decimal_comma: bool = True,
+) -> DataFrame:
+    """As `read_semicolon`, with what is wrong with each line, in the same scan.
+
+    Adds `__file`, `__line` (the text of a line that has a fault, else null) and
+    `__rejects`: an array of column, value and reason for each field that is not
+    of its type, or one entry without a column where the number of fields is
+    wrong. The missing-value marker and an empty field are no faults. Every line
+    is a row; `accepted` and `rejected` tell them apart.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    options = _semicolon_options(date_format, encoding, decimal_comma)
+    # All columns are parsed, also for a query of some of them: a fault must not depend on the query.
+    reader = spark.read.option("header", True).option("columnPruning", False).options(**options)
+    reader = reader.option("columnNameOfCorruptRecord", "__line")
+    table = reader.schema(T.StructType([*fields, T.StructField("__line", T.StringType())])).csv(path)
+    raw = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(fields) + 2)])
+    # A mark behind the line tells where its fields end.
+    ended = F.concat("__line", F.lit(f"{options['sep']}{_END}"))
+    parsed = F.from_csv(ended, ", ".join(f"{f.name} string" for f in raw), options)
+    table = table.withColumn("__file", F.col("_metadata.file_path")).withColumn("__raw", parsed)
+    checks = []
+    for k, f in enumerate(fields):
+        value, typed = F.col(f"__raw.c{k}"), F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            continue
+        wrong = typed.isNull() & value.isNotNull() & ~value.isin("", null_value)
+        checks.append(F.when(wrong, _reject(f.name, value, f"not {f.dataType.simpleString()}")))
+    found = F.array_compact(F.array(*checks)) if checks else F.array().cast(_REJECTS)
+    amount = F.array(_reject(None, F.lit(None), f"not {len(fields)} fields"))
+    behind, beyond = F.col(f"__raw.c{len(fields)}"), F.col(f"__raw.c{len(fields) + 1}")
+    whole = behind.eqNullSafe(F.lit(_END)) & beyond.isNull()
+    # Spark refuses a query that needs nothing of a file but its doubtful lines, so a field is asked for too.
+    field = F.coalesce(F.col(f"`{fields[0].name}`").cast("string"), F.lit(""))
+    clean = F.col("__line").isNull() & (F.length(field) >= 0)
+    # A marker in a number's place makes the reader doubt the line, without a fault.
+    rejects = (
+        F.when(clean, F.array().cast(_REJECTS))
+        .when(~whole, amount)
+        .otherwise(found)
+    )
+    checked = table.withColumn("__rejects", rejects.cast(_REJECTS)).drop("__raw")
+    return _resolve_marker(checked, null_value, CHECKS)
+
+
+#: A mark that no field has.
+_END = "\x01end"
+_REJECTS = "array<struct<column:string,value:string,reason:string>>"
+
+
+def _reject(column: str | None, value: Column, reason: str) -> Column:
+    return F.struct(
+        F.lit(column).cast("string").alias("column"),
+        value.cast("string").alias("value"),
+        F.lit(reason).alias("reason"),
+    )
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    """The rows of lines without fault, with the columns of the schema."""
+    return checked.filter(F.size("__rejects") == 0).drop(*CHECKS)
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    """`file`, `line`, `column`, `value`, `reason`: one row for each fault."""
+    faults = checked.filter(F.size("__rejects") > 0)
+    return faults.select(
+        F.col("__file").alias("file"), F.col("__line").alias("line"), F.inline("__rejects")
+    )
+
+
+def _resolve_marker(
+    table: DataFrame, null_value: str, apart: Sequence[str] = ()
+) -> DataFrame:
+    texts = [
+        f.name
+        for f in table.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.name not in apart
+    ]
     resolved = {
         c: F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(null_value)) for c in texts
     }
