@@ -112,7 +112,7 @@ def read_checked(
 
 
 #: A mark that no field has.
-_END = "\x01end"
+_END = "=end of the line="
 _REJECTS = "array<struct<column:string,value:string,reason:string>>"
 
 
