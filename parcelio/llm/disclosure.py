@@ -1,12 +1,14 @@
 """Personal data, and the terms of the corpus that give it away.
 
-Personal data is found by fixed patterns. A term in a value's documents is the more
-telling, the more of the value's information it carries: the pointwise mutual
-information of term and value, over documents, against the information content
-of the value. Terms above one threshold are generalised, above another removed.
-Most values stand in one or two documents, so no count is cut off; it is
-discounted instead, and each value also counts with others at its level: the
-domain of an address, the prefix of a number.
+Personal data is found by fixed patterns. A term tells of a protected value by
+what it leaves unknown of it: the bits of information, -log2 P(value | term),
+estimated from the texts in which both stand. Where little is left the term is
+generalised, where next to nothing is left it is removed; it must also say more
+than the value's own frequency does. The estimate depends on the texts of the
+term alone, so it is the same in a large corpus as in a small one, and equal
+texts count once. Most values stand in one or two texts, so no count is cut
+off; it is discounted instead, and each value also counts with others at its
+level: the domain of an address, the prefix of a number.
 """
 
 from __future__ import annotations
@@ -20,17 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelio.functions.nulls import broadcast_if_small
 from parcelio.llm import tokens as T
 from parcelio.llm.shared import ship, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Taken off the documents in which term and value meet, and dealt to all by the value's share of documents.
+#: Taken off the texts in which term and value meet: what one more text could show.
 DISCOUNT = 0.75
-#: Shares of the value's information from which a term is generalised or removed.
-GENERALISE = 0.75
-REMOVE = 0.9
+#: Bits of the value that a term leaves unknown, up to which it is generalised or removed.
+GENERALISE_BITS = 1.0
+REMOVE_BITS = 1 / 3
+#: Bits that a term must say beyond how frequent the value is.
+LEAST_GAIN = 1.0
 #: Pairs of value and term that a task hands on at a time, about.
 PAIRS = 1 << 18
+#: Marks of repeated texts that every task may get (some 50 bytes each).
+REPEATED_LIMIT = 1 << 18
 #: Terms that a task looks for, at most (8 bytes each); with more, all terms are counted.
 TERM_LIMIT = 1 << 18
 
@@ -175,19 +182,22 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(wanted: np.ndarray | None):
-    """In how many rows of a slice each term occurs."""
+    """In how many rows of a slice each term occurs, each row with its `weight`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in T.slices(batch)):
             words = T.words_of(*T.buffer_of(batch.column("text")), T.AT_MARK)
+            weight = batch.column("weight").to_numpy()
             term, row = words.hash, words.row
             if wanted is not None:
                 at = np.minimum(np.searchsorted(wanted, term), max(len(wanted) - 1, 0))
                 hit = wanted[at] == term if len(wanted) else np.zeros(len(term), bool)
                 term, row = term[hit], row[hit]
             _, first = np.unique(T.mix(term + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            term, many = np.unique(term[first], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(many.astype(np.int64))], ["term", "n"])
+            row = row[first]
+            term, number = np.unique(term[first], return_inverse=True)
+            many = np.bincount(number, weights=weight[row], minlength=len(term)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(many)], ["term", "n"])
 
     return run
 
@@ -200,17 +210,19 @@ def _marked(docs: DataFrame) -> DataFrame:
 def telling_terms(docs: DataFrame) -> DataFrame:
     """`mark` (md5 of a text) and `terms`: its telling terms as structs of kind, start and end.
 
-    All counts are of whole documents, over the whole table, and a term that
-    tells of a value is marked wherever it stands in the value's documents
-    outside base spans. Kinds are `generalise` and
-    `remove`. A value's share of a term's documents is estimated by absolute
-    discounting, which holds for values and terms of a single document too. A
-    value that all documents hold has no telling terms.
+    All counts are of whole texts, over the whole table, equal texts once; a
+    term that tells of a value is marked wherever it stands in the value's texts
+    outside base spans. Kinds are `generalise` and `remove`. A value's share of
+    a term's texts is estimated by absolute discounting: a term of a single text
+    tells too little, one of two texts that both hold the value is generalised,
+    one of four such texts is removed. A value that half of all texts hold has
+    no telling terms. Unrelated texts change nothing, but for making a frequent
+    value rarer.
     """
     rows = _marked(docs)
     ship(docs.sparkSession)
     texts = rows.select("mark", "text").mapInArrow(_holding, "mark string, text string")
-    texts = written(texts.groupBy("mark").agg(F.count("*").alias("n"), F.first("text").alias("text")), "private-texts")
+    texts = written(texts.groupBy("mark").agg(F.lit(1).cast("long").alias("n"), F.first("text").alias("text")), "private-texts")
     found = written(texts.mapInArrow(_values, "mark string, n long, entity long"), "values")
     # Values of the same documents have the same counts with every term: one class stands for them.
     first, second = (F.bit_xor(F.xxhash64("mark", F.lit(k))) for k in (1, 2))
@@ -221,16 +233,22 @@ def telling_terms(docs: DataFrame) -> DataFrame:
     pairs = held.mapInArrow(_pairs, "mark string, class long, n_value long, term long, n long")
     both = pairs.groupBy("class", "term").agg(F.sum("n").alias("n_both"), F.first("n_value").alias("n_value"))
     both = written(both, "pairs")
-    total = docs.count()
+    copies = written(rows.groupBy("mark").agg(F.count("*").alias("n")), "copies")
+    total = copies.count()
     wanted = both.select("term").distinct().orderBy("term").limit(TERM_LIMIT + 1).toArrow()["term"].to_numpy()
     known = None if len(wanted) > TERM_LIMIT else np.sort(wanted.astype(np.int64).view(np.uint64))
-    counts = rows.select("text").mapInArrow(_document_counts(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    usual = F.col("n_value") / F.lit(float(max(total, 1)))
-    content = -F.log(usual)
-    mutual = F.log((F.col("n_both") - DISCOUNT + DISCOUNT * usual) / F.col("n_term") / usual)
-    told = both.join(counts, "term").filter(content > 0).withColumn("share", F.try_divide(mutual, content))
-    told = told.filter(F.col("share") >= GENERALISE)
-    told = told.select("class", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
+    # All rows are counted, and what repeats of a text add is taken off again.
+    repeated = broadcast_if_small(copies.filter("n > 1"), REPEATED_LIMIT)
+    repeats = rows.select("mark", "text").join(repeated, "mark").groupBy("mark").agg(F.first("text").alias("text"), (1 - F.first("n")).alias("weight"))
+    parts = (rows.select("text", F.lit(1).cast("long").alias("weight")), repeats.select("text", "weight"))
+    counted = [part.mapInArrow(_document_counts(known), "term long, n long") for part in parts]
+    counts = counted[0].unionAll(counted[1]).groupBy("term").agg(F.sum("n").alias("n_term"))
+    chance = (F.col("n_both") - DISCOUNT) / F.col("n_term")
+    unknown = -F.log2(chance)
+    gain = F.log2(chance) - F.log2(F.col("n_value") / F.lit(float(max(total, 1))))
+    told = both.join(counts, "term").select("class", "term", unknown.alias("unknown"), gain.alias("gain"))
+    told = told.filter((F.col("unknown") <= GENERALISE_BITS) & (F.col("gain") >= LEAST_GAIN))
+    told = told.select("class", "term", F.when(F.col("unknown") <= REMOVE_BITS, "remove").otherwise("generalise").alias("kind"))
     terms = pairs.select("mark", "class", "term").join(told, ["class", "term"]).groupBy("mark", "term").agg(F.max("kind").alias("kind"))
     terms = terms.groupBy("mark").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
     terms = texts.select("mark", "text").join(terms, "mark").mapInArrow(_places, "mark string, terms array<struct<kind:string,start:int,end:int>>")
@@ -273,10 +291,17 @@ def find_private(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", all_.alias("spans"))
 
 
+def level(term: str) -> str:
+    """The class of a term, which many terms share: a number, a code with digits, a capitalised name, or a word."""
+    if any(map(str.isdigit, term)):
+        return "NUMBER" if term.isdigit() else "CODE"
+    return "NAME" if term[:1].isupper() else "WORD"
+
+
 def replaced(text: str, terms: list[dict]) -> str:
-    """The text with base spans as <KIND>, generalised terms as <TERM>, and removed terms cut out."""
+    """The text with base spans as <KIND>, generalised terms as their level, and removed terms cut out."""
     spans = [(a, b, f"<{KINDS[k].upper()}>") for k, a, b in base_spans(text)]
-    spans += [(t["start"], t["end"], "" if t["kind"] == "remove" else "<TERM>") for t in terms]
+    spans += [(t["start"], t["end"], "" if t["kind"] == "remove" else f"<{level(text[t['start'] : t['end']])}>") for t in terms]
     out, done = [], 0
     for a, b, label in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= done:

@@ -154,24 +154,30 @@ def test_hashes_of_words_do_not_depend_on_their_place():
     assert words(["one TWO", None, " two\tONE "]) == words(["one"]) + words(["two"]) * 2 + words(["One"])
 
 
-def test_values_of_one_or_two_documents_have_telling_terms(docs_of):
-    rows = [(1, "the zebra ann@one.org the"), (2, "the quokka bob@two.org the"), (3, "the quokka bob@two.org the")]
+def test_values_of_few_documents_have_telling_terms(docs_of):
+    rows = [(1, "the zebra ann@one.org the")]
+    rows += [(2 + i, f"the quokka bob@two.org the n{i}") for i in range(2)]
     # Each address once, all of one domain, whose term stands in all its documents and in no other.
     rows += [(10 + i, f"the wombat user{i}@same.net the") for i in range(4)]
-    rows += [(100 + i, "the rest") for i in range(2000)]
-    got = {r.doc_id: set(r.spans.split(",")) for r in disclosure.find_private(docs_of(rows)).collect()}
-    assert got[1] == {"email:10:21", "generalise:4:9"}
-    assert got[2] == got[3] == {"email:11:22", "remove:4:10"}
-    assert all("remove:4:10" in got[10 + i] for i in range(4)) and got[100] == {""}
-    clean = {r.doc_id: r.text for r in disclosure.sanitised(docs_of(rows)).collect()}
-    assert clean[1] == "the <TERM> <EMAIL> the" and clean[2] == "the  <EMAIL> the" and clean[100] == "the rest"
+    rest = [(100 + i, f"the rest of{i}") for i in range(100)]
+    spans = lambda docs: {r.doc_id: r.spans for r in disclosure.find_private(docs_of(docs)).collect() if r.doc_id < 100}
+    got = spans(rows + rest)
+    # A word that stands nowhere else is no evidence; one of two texts with the value is, one of four is more.
+    assert got[1] == "email:10:21"
+    assert got[2] == got[3] == "email:11:22,generalise:4:10"
+    assert all(got[10 + i].endswith(",remove:4:10") for i in range(4))
+    # Neither exact copies nor ten times as many unrelated texts change anything.
+    assert spans(rows + rows + rest) == spans(rows + rest + [(2000 + i, f"more of{i} rest{i}") for i in range(1100)]) == got
+    clean = {r.doc_id: r.text for r in disclosure.sanitised(docs_of(rows + rest)).collect()}
+    assert clean[1] == "the zebra <EMAIL> the" and clean[2] == "the <WORD> <EMAIL> the n0" and clean[10] == "the  <EMAIL> the"
+    assert [disclosure.level(t) for t in ("Quokka", "word", "123", "a1", "Éa")] == ["NAME", "WORD", "NUMBER", "CODE", "NAME"]
 
 
 def test_telling_terms_of_whole_documents(docs_of):
     far = " ".join(["the"] * 30)
     # The term is near the address in one of its documents only, and stands twice.
-    texts = [f"the wombat ann@one.org {far} wombat"] + [f"wombat {far} ann@one.org {far} wombat the"] * 3
-    rows = list(enumerate(texts)) + [(100 + i, "the rest") for i in range(200)]
+    texts = [f"the wombat ann@one.org {far} wombat"] + [f"wombat {far} ann@one.org {far} wombat the{i}" for i in range(3)]
+    rows = list(enumerate(texts)) + [(100 + i, f"the rest of{i}") for i in range(200)]
     got = {r.doc_id: set(r.spans.split(",")) for r in disclosure.find_private(docs_of(rows)).collect()}
     for i, text in enumerate(texts):
         at, again = text.index("wombat"), text.rindex("wombat")
@@ -189,22 +195,25 @@ def test_telling_terms_against_counting(docs_of):
         words = [f"w{rng.randint(0, 25)}" for _ in range(8)] + [f"k{m[1]}" for m in held if rng.random() < 0.9]
         rng.shuffle(words)
         rows.append((i, " ".join([*words, *held])))
-    rows += rows[:20]  # equal texts count as documents each
-    words = [set(re.findall(r"[a-z0-9]+", t)) for _, t in rows]
-    entities = [{e for m in re.findall(r"\S+@\S+", t) for e in (m, m.split("@")[1])} for _, t in rows]
+    rows += rows[:20]  # equal texts count once
+    distinct = sorted({t for _, t in rows})
+    words = [set(re.findall(r"[a-z0-9]+", t)) for t in distinct]
+    levels = lambda t: {e for m in re.findall(r"\S+@\S+", t) for e in (m, m.split("@")[1])}
+    entities = [levels(t) for t in distinct]
     want = []
-    for (doc, text), mine in zip(rows, entities):
+    for doc, text in rows:
         spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+@\S+", text)]
         told = []
         for m in re.finditer(r"(?<!\S)\w+(?!\S)", text):
-            best = 0
-            for e in mine:
-                usual = sum(e in x for x in entities) / len(rows)
+            left = 99
+            for e in levels(text):
+                usual = sum(e in x for x in entities) / len(distinct)
                 both = sum(e in x and m[0] in w for x, w in zip(entities, words))
-                seen = (both - 0.75 + 0.75 * usual) / sum(m[0] in w for w in words)
-                best = max(best, np.log(seen / usual) / -np.log(usual))
-            if best >= 0.75:
-                told.append(("remove" if best >= 0.9 else "generalise", *m.span()))
+                seen = (both - 0.75) / sum(m[0] in w for w in words)
+                if np.log2(seen / usual) >= 1:
+                    left = min(left, -np.log2(seen))
+            if left <= 1:
+                told.append(("remove" if left <= 1 / 3 else "generalise", *m.span()))
         want.append((doc, ",".join(spans + [f"{k}:{a}:{b}" for k, a, b in sorted(told)])))
     assert sum("remove" in s or "generalise" in s for _, s in want) > 10
     got = disclosure.find_private(docs_of(rows)).collect()
