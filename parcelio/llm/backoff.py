@@ -23,8 +23,8 @@ from parcelio.llm.shared import texts
 ORDER = 3
 #: Factor for each step to a shorter context.
 BACKOFF = 0.4
-#: Longer n-grams with fewer occurrences are not in the count tables, unless the caller says otherwise; op6 cuts none off.
-CUTOFF = 2
+#: N-grams of more than one word with fewer occurrences count as unknown; 1 cuts none off.
+CUTOFF = 1
 #: Bytes of text that a group, and an owner of a hash range, handles.
 GROUP_BYTES = 12 << 20
 OWNER_BYTES = 8 << 20

@@ -99,7 +99,8 @@ def test_vectors_against_all_pairs(spark):
 
 def test_backoff_against_counting(docs_of):
     rows = [(i, prose(RNG.randint(1, 60))) for i in range(40)] + ODD
-    got = backoff.score_documents(docs_of(rows)).collect()
+    got = backoff.score_documents(docs_of(rows), cutoff=2).collect()
+    assert backoff.CUTOFF == 1
     words = [[w.encode().lower() for w in (t or "").split()] for _, t in rows]
     count = collections.Counter(tuple(w[i : i + k]) for w in words for k in (1, 2, 3) for i in range(len(w) - k + 1))
     total, want = sum(map(len, words)), []
