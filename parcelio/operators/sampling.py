@@ -87,13 +87,31 @@ def bootstrap_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFra
 def mark_test_rows(
     df: DataFrame, key: str, test_percent: int = 30, seed: int = 42
 ) -> DataFrame:
-    """Add `is_test`: exactly trunc(N * percent / 100) rows, chosen by hash."""
-    size = F.floor(F.col("__total") * F.lit(test_percent) / F.lit(100))
-    return (
-        with_dense_index(df, key, seed, total="__total")
-        .withColumn("is_test", F.col("row_index") <= size)
-        .drop("row_index", "__total")
-    )
+    """Add `is_test`: exactly trunc(N * percent / 100) rows, the first in hash order.
+
+    The rows are not numbered: the sizes of the 65,536 groups of leading hash
+    digits tell in which one the last test row lies, and that group alone is
+    put in order to find it. Each row is then compared with the last test row,
+    so the table is neither shuffled nor joined. `key` must be unique. The keys
+    are read twice before the rows are; write a table that is costly to compute.
+    """
+    keys = _grouped(df.select(key), key, seed)
+    sizes = sorted((r["__group"], r["__size"]) for r in _group_sizes(keys).collect())
+    wanted = sum(n for _, n in sizes) * test_percent // 100
+    group, before = None, 0
+    for name, n in sizes:
+        if wanted and before + n >= wanted:
+            group = name
+            break
+        before += n
+    if group is None:
+        return df.withColumn("is_test", F.lit(False))
+    ordered = keys.filter(F.col("__group") == group).orderBy("__hash", key)
+    last = ordered.limit(wanted - before).orderBy(F.desc("__hash"), F.desc(key)).first()
+    own, hashed = F.col(key), seeded_hash(F.col(key), seed)
+    border = F.lit(last[key]).cast(df.schema[key].dataType)
+    is_test = (hashed < last["__hash"]) | ((hashed == last["__hash"]) & (own <= border))
+    return df.withColumn("is_test", is_test)
 
 
 def complement(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:

@@ -488,13 +488,21 @@ def percent_table(spark, sf_dir):
 # Model ----------------------------------------------------------------------
 
 
-def _training_rows(spark, sf_dir):
+def _written_model_table(spark, sf_dir):
+    """The model table, computed once for the split, the fit and the scores."""
+    path = new_shared_path(spark, "model-table")
     table = _model_table(spark, sf_dir)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def _training_rows(spark, sf_dir, table=None):
+    table = _written_model_table(spark, sf_dir) if table is None else table
     return sampling.mark_test_rows(table, "id", 30, SEED)
 
 
-def _final_model(spark, sf_dir):
-    train = _training_rows(spark, sf_dir).filter(~F.col("is_test"))
+def _final_model(spark, sf_dir, table=None):
+    train = _training_rows(spark, sf_dir, table).filter(~F.col("is_test"))
     return model.fit_logit(train, "resposta", d.FINAL_PREDICTORS)
 
 
@@ -543,8 +551,8 @@ def stepwise_aic(spark, sf_dir):
 
 
 def score_contracts(spark, sf_dir):
-    fitted = _final_model(spark, sf_dir)
-    scored = model.score_contracts(_model_table(spark, sf_dir), fitted)
+    table = _written_model_table(spark, sf_dir)
+    scored = model.score_contracts(table, _final_model(spark, sf_dir, table))
     return scored.select("id", F.col("resposta").cast("bigint"), "score")
 
 
