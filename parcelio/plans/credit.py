@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parcelio.functions.nulls import drop_null_rows
 from parcelio.operators import columns, features, metrics, model, sampling
 from parcelio.operators import dictionaries as d
+from parcelio.session import new_shared_path
 
 
 def clean_portfolio(
@@ -80,11 +81,16 @@ def split_sample(
 
     Draws may put copies of one contract in both parts, as the published model
     did (`SAMPLE_SIZE` draws); a split of the table itself keeps them apart.
+    Draws are written to the shared folder, so that the split, the fit and each
+    statistic don't draw anew.
     """
     if draws is None:
         return sampling.mark_test_rows(table, key, d.TEST_PERCENT, seed)
     sample = sampling.bootstrap_sample(table, key, draws, seed).drop("row_index")
-    return sampling.mark_test_rows(sample, "draw", d.TEST_PERCENT, seed)
+    path = new_shared_path(table.sparkSession, "draws")
+    sample.write.parquet(path)
+    drawn = table.sparkSession.read.schema(sample.schema).parquet(path)
+    return sampling.mark_test_rows(drawn, "draw", d.TEST_PERCENT, seed)
 
 
 def train_and_validate(
