@@ -11,17 +11,25 @@ must agree in more tokens before they are compared.
 The join works on classes of equal sets, and never forms all pairs of a dense
 group: each prefix token first links its members to one central member; after
 that only pairs from different components are formed.
+
+What is counted over all documents is sent packed: sorted 40-bit values of
+tokens, as compressed differences. Only postings of tokens whose value occurs
+twice are sent on; a bitmap, which every task gets, tells of them. It may pass
+a token too many, never one too few. Pairs are first compared by 16 bits of
+each token, which can only find too much in common, then by whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelio.functions.nulls import broadcast_if_small
 from parcelio.llm import tokens as T
 from parcelio.llm.components import components
 from parcelio.llm.shared import texts, written
@@ -34,11 +42,21 @@ RUN_TOKENS = 1 << 21
 FREQUENT_FROM = 4
 #: Largest length step.
 STEP_LIMIT = 12
-#: Keys of classes to compare that every task may get (16 bytes each).
-WANTED_CLASSES = 1 << 18
+#: Bits of a token's value, by which tokens are counted.
+VALUE_BITS = 40
+#: Values that are counted at a time, about.
+COUNT_TOKENS = 1 << 20
+#: Bits of the largest bitmap that every task gets, as a power of two (64 MB).
+MARK_BITS = 29
+#: Bits of a bitmap that are told apart by one group of rows, as a power of two.
+CHUNK_BITS = 20
+#: Ids of dropped documents that every task may get (some 50 bytes each).
+DROPPED_IDS = 1 << 21
 _TOP = np.uint64(1 << 63)
 _ROWS = "kind int, doc_id long, key long, n long"
 _POSTINGS = "token long, key long, info long"
+_PACKED = "chunk long, n long, delta binary, many binary"
+_MARKS = "chunk long, bits binary"
 
 
 def _batch(columns: dict[str, np.ndarray | pa.Array | list], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -46,6 +64,100 @@ def _batch(columns: dict[str, np.ndarray | pa.Array | list], types: list[pa.Data
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
+def _value(token: np.ndarray) -> np.ndarray:
+    """The evenly spread value of VALUE_BITS bits by which a token is counted."""
+    return T.mix(token) >> np.uint64(64 - VALUE_BITS)
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Non-negative numbers, compressed by their bytes of equal place."""
+    plain = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    return pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _numbers(packed: bytes, n: int, width: int) -> np.ndarray:
+    plain = np.frombuffer(pa.decompress(packed, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(plain.reshape(width, n).T).view(f"<u{width}").ravel().astype(np.uint64)
+
+
+def _packed(values: list[np.ndarray], chunks: int) -> pa.RecordBatch:
+    """The distinct values with their counts, a row for each of 2**chunks ranges of values."""
+    value, many = np.unique(np.concatenate(values or [np.zeros(0, np.uint64)]), return_counts=True)
+    chunk = value >> np.uint64(VALUE_BITS - chunks)
+    begin = np.flatnonzero(np.diff(chunk, prepend=np.uint64(1 << chunks))).tolist()
+    rows = [slice(a, b) for a, b in zip(begin, [*begin[1:], len(value)])]
+    low = value & np.uint64((1 << (VALUE_BITS - chunks)) - 1)
+    return _batch(
+        {
+            "chunk": chunk[begin].astype(np.int64),
+            "n": [r.stop - r.start for r in rows],
+            "delta": [_planes(np.diff(low[r], prepend=np.uint64(0)), 8) for r in rows],
+            "many": [_planes(many[r] - 1, 4) for r in rows],
+        },
+        [pa.int64(), pa.int64(), pa.binary(), pa.binary()],
+    )
+
+
+def _unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """A chunk, its distinct values without the chunk's bits, and how often each was counted."""
+    n, values, many = table.column("n").to_pylist(), [], []
+    for k, delta, more in zip(n, table.column("delta").to_pylist(), table.column("many").to_pylist()):
+        values.append(np.cumsum(_numbers(delta, k, 8)))
+        many.append(_numbers(more, k, 4) + np.uint64(1))
+    value, many = np.concatenate(values), np.concatenate(many)
+    by = np.argsort(value, kind="stable")
+    value, many = value[by], many[by]
+    first = np.flatnonzero(np.diff(value, prepend=value[:1] + np.uint64(1)))
+    return table.column("chunk")[0].as_py(), value[first], np.add.reduceat(many, first)
+
+
+def _chunks(tokens: int) -> int:
+    """Into how many ranges values are cut to be counted, as a power of two."""
+    return min(16, max(5, (tokens // COUNT_TOKENS).bit_length()))
+
+
+def _often(chunks: int):
+    """`key`, `df`: the values of a chunk counted FREQUENT_FROM times or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk, value, many = _unpacked(table)
+        top = many >= FREQUENT_FROM
+        key = value[top] | np.uint64(chunk << (VALUE_BITS - chunks))
+        return pa.Table.from_batches([_batch({"key": key.view(np.int64), "df": many[top].astype(np.int64)}, [pa.int64()] * 2)])
+
+    return run
+
+
+def _marked(slots: np.ndarray, size: int) -> bytes:
+    bits = np.zeros(size, bool)
+    bits[slots] = True
+    return np.packbits(bits).tobytes()
+
+
+def _twice(chunks: int, bits: int):
+    """The part of a bitmap of 2**bits for a chunk: values counted more than once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk, value, many = _unpacked(table)
+        slots = (value[many > 1] >> np.uint64(VALUE_BITS - bits)).astype(np.int64)
+        return pa.Table.from_batches([_batch({"chunk": [chunk], "bits": [_marked(slots, 1 << (bits - chunks))]}, [pa.int64(), pa.binary()])])
+
+    return run
+
+
+def _bitmap(parts: DataFrame, bits: int, chunk_bits: int) -> np.ndarray:
+    """The bitmap of 2**bits bits, on the driver; its size is bounded by MARK_BITS."""
+    whole, step = np.zeros(1 << (bits - 3), np.uint8), 1 << (chunk_bits - 3)
+    table = parts.toArrow()
+    for chunk, some in zip(table["chunk"].to_pylist(), table["bits"].to_pylist()):
+        whole[chunk * step : (chunk + 1) * step] = np.frombuffer(some, np.uint8)
+    return whole
+
+
+def _is_marked(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: each row's id, set key and size. Kind 1: tokens that occur more than once in a run of rows."""
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -53,7 +165,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def repeated() -> pa.RecordBatch:
         token, many = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
-        token, many = token[many > 1], many[many > 1]
+        token, many = _value(token[many > 1]), many[many > 1]
         seen.clear()
         none = pa.nulls(len(token), pa.int64())
         return _batch({"kind": np.ones(len(token), np.int32), "doc_id": none, "key": token.view(np.int64), "n": many}, types)
@@ -73,20 +185,27 @@ def _step(cost: int, most: int) -> int:
     return min(most, STEP_LIMIT, 1 + int(cost).bit_length())
 
 
-def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """`frequent`: tokens ascending, their rank by frequency, their frequency."""
-    known, rank, df = frequent
+def _postings(frequent: Broadcast, chunks: int | None = None, marks: Broadcast | None = None):
+    """The postings that `marks` passes, or with `chunks` the packed values of their tokens.
+
+    `frequent`: values ascending, their rank by frequency, their frequency.
+    Frequent tokens always pass.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank, df = frequent.value
         done: set[int] = set()
+        values: list[np.ndarray] = []
         for part in (part for batch in batches for part in T.slices(batch)):
             sets = T.shingle_sets(part.column("text"))
             keys = T.set_keys(sets)
             token, cost = sets.token & ~_TOP, np.zeros(len(sets.token), np.int64)
             if len(known) and len(token):
-                at = np.minimum(np.searchsorted(known, sets.token), len(known) - 1)
-                hit = known[at] == sets.token
-                token[hit] = _TOP | rank[at[hit]].astype(np.uint64)
+                value = _value(sets.token)
+                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                hit = known[at] == value
+                # Tokens of one value have one rank, and stay apart by their own bits.
+                token[hit] = _TOP | rank[at[hit]].astype(np.uint64) << np.uint64(44) | token[hit] & np.uint64((1 << 44) - 1)
                 cost[hit] = df[at[hit]]
             out: list[tuple[np.ndarray, int, np.ndarray]] = []
             for i, key in enumerate(keys.tolist()):
@@ -101,6 +220,15 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
                 first = by[: min(n, n - need + step)]
                 info = (n << 34) | (np.arange(len(first), dtype=np.int64) << 4) | step
                 out.append((token[a:b][first], key, info))
+            if chunks is not None:
+                values += [_value(x[0][x[0] < _TOP]) for x in out]
+                if sum(map(len, values)) >= RUN_TOKENS:
+                    yield _packed(values, chunks)
+                    values.clear()
+                continue
+            if marks is not None:
+                passed = [(x[0] >= _TOP) | _is_marked(marks.value, _slots(_value(x[0]), VALUE_BITS, marks.value)) for x in out]
+                out = [(x[0][p], x[1], x[2][p]) for x, p in zip(out, passed)]
             if out:
                 lengths = [len(x[0]) for x in out]
                 yield _batch(
@@ -111,34 +239,50 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray, np.ndarray]):
                     },
                     [pa.int64()] * 3,
                 )
+        if values:
+            yield _packed(values, chunks)
 
     return emit
 
 
-def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The quarter of each distinct set's tokens with the smallest hashes."""
-    done: set[int] = set()
-    for part in (part for batch in batches for part in T.slices(batch)):
-        sets = T.shingle_sets(part.column("text"))
-        keys, found = T.set_keys(sets).tolist(), []
-        for key, a, b in zip(keys, sets.first[:-1].tolist(), sets.first[1:].tolist()):
-            if b > a and key not in done:
-                done.add(key)
-                found.append(sets.token[a : a + (b - a) // 4 + 1])
-        yield _batch({"key": np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)}, [pa.int64()])
+def _slots(value: np.ndarray, width: int, bitmap: np.ndarray) -> np.ndarray:
+    """Places of values of `width` bits in a bitmap: their first bits."""
+    return (value >> np.uint64(width - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
 
 
-def _frequent(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent tokens, at most FREQUENT_TOKENS, as arrays.
+def _smallest(chunks: int):
+    """The quarter of each distinct set's tokens with the smallest hashes, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        found: list[np.ndarray] = []
+        for part in (part for batch in batches for part in T.slices(batch)):
+            sets = T.shingle_sets(part.column("text"))
+            keys = T.set_keys(sets).tolist()
+            for key, a, b in zip(keys, sets.first[:-1].tolist(), sets.first[1:].tolist()):
+                if b > a and key not in done:
+                    done.add(key)
+                    found.append(_value(sets.token[a : a + (b - a) // 4 + 1]))
+            if sum(map(len, found)) >= RUN_TOKENS:
+                yield _packed(found, chunks)
+                found.clear()
+        if found:
+            yield _packed(found, chunks)
+
+    return run
+
+
+def _frequent(docs: DataFrame, rows: DataFrame, chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of the most frequent tokens, at most FREQUENT_TOKENS, as arrays.
 
     Tokens with small hashes, which prefixes by hash alone would hold, are
-    counted exactly; of the others, those that occur once in a run of rows are
+    all counted; of the others, those that occur once in a run of rows are
     not counted, so a count may be too low by one for each run. The order is the
     same everywhere all the same, which is all that the result depends on.
     """
-    exact = docs.mapInArrow(_smallest, "key long").groupBy("key").agg(F.count("*").alias("df"))
+    exact = docs.mapInArrow(_smallest(chunks), _PACKED).groupBy("chunk").applyInArrow(_often(chunks), "key long, df long")
     runs = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("df"))
-    counted = exact.filter(F.col("df") >= FREQUENT_FROM).unionAll(runs.filter(F.col("df") >= FREQUENT_FROM))
+    counted = exact.unionAll(runs.filter(F.col("df") >= FREQUENT_FROM))
     top = counted.groupBy("key").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "key").limit(FREQUENT_TOKENS).toArrow()
     token = top["key"].to_numpy().astype(np.int64).view(np.uint64)
     df = top["df"].to_numpy().astype(np.int64)
@@ -169,63 +313,109 @@ def _matched(pairs: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            keep[i] = 100 * same >= 75 * (len(both) - same)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _compare(kind: str):
+    """Pairs whose tokens, or their first bits, have enough in common; `kind` is the NumPy type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
+                x, y = _tokens(x, kind), _tokens(y, kind)
+                if kind == "u2":
+                    # Equal ones are numbered, so that as many are in common as both sides have.
+                    x, y = _numbered(x), _numbered(y)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                keep[i] = 100 * same >= 75 * (len(both) - same)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _tokens(stored: pa.Scalar, kind: str) -> np.ndarray:
+    plain = np.frombuffer(stored.as_buffer(), np.uint8)
+    if kind == "u8":
+        return plain.view(np.uint64)
+    n = int(plain[:4].view("<u4")[0])
+    return np.cumsum(_numbers(plain[4:].tobytes(), n, 2))
+
+
+def _sketch(token: np.ndarray) -> bytes:
+    """The first 16 bits of every token, packed."""
+    return len(token).to_bytes(4, "little") + _planes(np.diff(token >> np.uint64(48), prepend=np.uint64(0)), 2)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+def _numbered(value: np.ndarray) -> np.ndarray:
+    first = np.flatnonzero(np.diff(value, prepend=value[:1] + np.uint64(1)))
+    place = np.arange(len(value)) - np.repeat(first, np.diff(first, append=len(value)))
+    return value << np.uint64(32) | place.astype(np.uint64)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("sa"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_compare, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_compare(kind), "a long, b long").distinct()
 
 
-def _whole_sets(keys: np.ndarray | None, reps: list | None):
-    """Sets of the wanted classes, each from the document that stands for it.
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough; sketches are compared before."""
+    likely = written(_similar(pairs, _sets_of(docs, classes, pairs, _sketch), "u2"), "likely")
+    return _similar(likely, _sets_of(docs, classes, likely, np.ndarray.tobytes), "u8")
 
-    The wanted class of a row is its column `key`, or else looked up in `keys`
-    (ascending) with the standing documents' ids in `reps`.
-    """
+
+def _id_values(ids: pa.Array) -> np.ndarray:
+    return T.mix(ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def _id_slots(bits: int):
+    """`chunk` and `slot` (within it) of each id in a bitmap of 2**bits bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = (_id_values(batch.column("rep")) >> np.uint64(64 - bits)).astype(np.int64)
+            yield _batch({"chunk": slot >> CHUNK_BITS, "slot": slot & ((1 << CHUNK_BITS) - 1)}, [pa.int64()] * 2)
+
+    return run
+
+
+def _chunk_marks(table: pa.Table) -> pa.Table:
+    bits = _marked(table.column("slot").to_numpy(), 1 << CHUNK_BITS)
+    return pa.Table.from_batches([_batch({"chunk": [table.column("chunk")[0].as_py()], "bits": [bits]}, [pa.int64(), pa.binary()])])
+
+
+def _whole_sets(marks: Broadcast, stored: Callable[[np.ndarray], bytes]):
+    """Sets of the documents whose ids are marked, each class once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for part in (part for batch in batches for part in T.slices(batch)):
-            sets = T.shingle_sets(part.column("text"))
-            mine = T.set_keys(sets).view(np.int64)
-            if keys is None:
-                rows = np.flatnonzero(mine == part.column("key").to_numpy())
-            else:
-                ids, at = part.column("doc_id").to_pylist(), np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-                rows = [i for i in np.flatnonzero(keys[at] == mine).tolist() if ids[i] == reps[at[i]]] if len(keys) else []
-            found = {int(mine[i]): sets.token[sets.first[i] : sets.first[i + 1]].tobytes() for i in rows if int(mine[i]) not in done}
-            done.update(found)
-            yield _batch({"key": list(found), "tokens": list(found.values())}, [pa.int64(), pa.binary()])
+        for batch in batches:
+            mine = _is_marked(marks.value, _slots(_id_values(batch.column("doc_id")), 64, marks.value))
+            for part in T.slices(batch.filter(pa.array(mine))):
+                sets = T.shingle_sets(part.column("text"))
+                found = {}
+                for i, key in enumerate(T.set_keys(sets).view(np.int64).tolist()):
+                    if key not in done and sets.first[i] < sets.first[i + 1]:
+                        done.add(key)
+                        found[key] = stored(sets.token[sets.first[i] : sets.first[i + 1]])
+                yield _batch({"key": list(found), "tokens": list(found.values())}, [pa.int64(), pa.binary()])
 
     return run
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`key` and `tokens` of every class in `pairs`.
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, stored: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """`key` and `tokens` (as `stored`) of every class in `pairs`, each from the document that stands for it.
 
-    Up to WANTED_CLASSES keys go to every task, which picks them out of the
-    documents; more are joined to the documents instead.
+    Every task gets a bitmap of those documents' ids, with 32 bits for each, so
+    that no text is sent anywhere. A few other classes may come along; the
+    joins with the pairs drop them.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", "rep")
-    first = wanted.limit(WANTED_CLASSES + 1).toArrow().sort_by("key")
-    if first.num_rows <= WANTED_CLASSES:
-        found = docs.mapInArrow(_whole_sets(first["key"].to_numpy(), first["rep"].to_pylist()), "key long, tokens binary")
-    else:
-        rows = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("key", "text")
-        found = rows.mapInArrow(_whole_sets(None, None), "key long, tokens binary")
-    return written(found, "whole-sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("rep")
+    wanted = written(wanted, "wanted")
+    bits = min(MARK_BITS, max(CHUNK_BITS, (32 * wanted.count()).bit_length()))
+    parts = wanted.mapInArrow(_id_slots(bits), "chunk long, slot long").groupBy("chunk").applyInArrow(_chunk_marks, _MARKS)
+    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(parts, bits, CHUNK_BITS))
+    return written(docs.mapInArrow(_whole_sets(marks, stored), "key long, tokens binary"), "whole-sets")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -243,10 +433,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     rows = written(docs.mapInArrow(_describe, _ROWS), "sets")
     of_rows = rows.filter("kind = 0")
-    frequent = _frequent(docs, rows)
-    postings = docs.mapInArrow(_postings(frequent), _POSTINGS)
-    shared = postings.groupBy("token").count().filter("count > 1").select("token")
-    met = written(postings.join(shared, "token").groupBy("token", "key").agg(F.min("info").alias("info")), "postings")
+    send = docs.sparkSession.sparkContext.broadcast
+    prefixes = (of_rows.agg(F.sum("n")).first()[0] or 0) // 4
+    chunks = _chunks(prefixes)
+    frequent = send(_frequent(docs, rows, chunks))
+    bits = min(MARK_BITS, max(chunks + 3, prefixes.bit_length() + 1))
+    counted = docs.mapInArrow(_postings(frequent, chunks=chunks), _PACKED).groupBy("chunk").applyInArrow(_twice(chunks, bits), _MARKS)
+    marks = send(_bitmap(counted, bits, bits - chunks))
+    met = docs.mapInArrow(_postings(frequent, marks=marks), _POSTINGS).groupBy("token", "key").agg(F.min("info").alias("info"))
+    met = written(met, "postings")
 
     classes = of_rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
@@ -255,7 +450,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     centre = met.withColumn("o", order).groupBy("token").agg(F.min_by("key", "o").alias("b"), F.min_by("info", "o").alias("ib"))
     star = met.join(centre, "token").filter("key <> b").filter(_meets("info", "ib"))
     pairs = written(_matched(star.select(F.col("key").alias("a"), "b", F.col("info").alias("ia"), "ib")), "candidates")
-    near = written(_verified(pairs, _sets_of(docs, classes, pairs)), "links")
+    near = written(_verified(docs, classes, pairs), "links")
     labels = components(near)
 
     whose = met.join(labels.withColumnRenamed("node", "key"), "key", "left")
@@ -290,7 +485,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     fits = F.expr(f"4 * {n} >= 3 * low AND 4 * high >= 3 * {n} AND 7 * {place} - 4 * {n} - 7 * {step} + 3 * low < 0")
     rest = apart.join(left, ["token", "p"]).filter(fits).join(right, ["token", "q"]).filter(_meets("ia", "ib"))
     pairs = written(_matched(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ia", "ib")), "candidates")
-    far = _verified(pairs, _sets_of(docs, classes, pairs))
+    far = _verified(docs, classes, pairs)
     far = far.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     far = far.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     bridges = written(far.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "bridges")
@@ -313,5 +508,11 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     smallest id stay as they are. A group without any id stays whole. The
     columns are those of `docs`.
     """
-    kept = jaccard_components(docs).filter("component_id IS NULL OR doc_id = component_id")
-    return docs.join(kept.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    named = written(jaccard_components(docs), "components")
+    ids = named.groupBy("doc_id").agg(F.max(F.expr("component_id IS NULL OR coalesce(doc_id = component_id, false)")).alias("kept"))
+    dropped = ids.filter("NOT kept")
+    null_dropped = dropped.filter("doc_id IS NULL").limit(1).count() > 0
+    # Fewer are dropped than stay, and without nulls an id is a plain number: texts needn't be sent by id.
+    gone = broadcast_if_small(dropped.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")), DROPPED_IDS)
+    stay = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    return stay.filter(docs["doc_id"].isNotNull()) if null_dropped else stay
