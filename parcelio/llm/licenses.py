@@ -9,20 +9,25 @@ common word is among the first size - need + 1 of the template (prefix) and the
 first n - need + 1 of the block, if n >= need (length), and if the words common
 so far and the fewer of those still to come reach it (position). What is left
 is verified. Everything is DataFrame expressions.
+
+Texts are cut into words once, by splitting: Spark's extraction of all matches
+makes an object for each word and takes several times as long. The same pass
+keeps which template words a text holds; only texts that hold enough words of
+one template keep their own words, for the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelio.functions.nulls import broadcast_if_small
 from parcelio.llm.shared import written
 
-#: Words, once A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, once A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 64
 #: Percent of a template's distinct words.
 THRESHOLD = 80
@@ -56,7 +61,7 @@ TEMPLATES = (
 def words_of(text: Column) -> Column:
     """The words of a text (null: none). Only A-Z may become another word's letters, so the Kelvin sign is set aside."""
     plain = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("ĸ"))
-    return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(plain), GAP), "")
 
 
 def _literal(words: Sequence[str]) -> Column:
@@ -79,20 +84,36 @@ def phrase_places(joined: Column, phrase: str) -> tuple[Column, Column, Column]:
     return count, first, last
 
 
-def _base(docs: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:
-    """`doc_id`, `mark` (of the text), `n_words`, and the phrases' places and labels."""
+def _scanned(docs: DataFrame, templates: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row per document, from one pass over the texts.
+
+    `doc_id`, `mark` (the MD5 of the text), `n_words`, the phrases' places and
+    labels, `held` (the distinct template words of the text), and `words` of the
+    texts that hold enough words of some template, else null.
+    """
+    rows = templates.select("tokens", "need").collect()
+    universe = sorted({w for r in rows for w in r["tokens"]})
+    enough = F.lit(False)
+    for r in rows:
+        enough = enough | (F.size(F.array_intersect("held", _literal(r["tokens"]))) >= r["need"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("mark"), words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
+    rows = rows.select(
+        "doc_id", "mark", "words", F.size("words").cast("long").alias("n_words"),
+        F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"), F.array_intersect("words", _literal(universe)).alias("held"),
+    )
     places = [phrase_places(F.col("joined"), phrase) for phrase, _ in phrases]
     rows = rows.select(
-        "doc_id", "mark", "n_words", *[c.alias(f"{kind}{k}") for k, three in enumerate(places) for kind, c in zip(("count", "first", "last"), three)]
+        "doc_id", "mark", "n_words", "held", F.when(enough, F.col("words")).alias("words"),
+        *[c.alias(f"{kind}{k}") for k, three in enumerate(places) for kind, c in zip(("count", "first", "last"), three)],
     )
     found = F.array(*[F.when(F.col(f"count{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)])
     return rows.select(
         "doc_id",
         "mark",
         "n_words",
+        "held",
+        "words",
         sum((F.col(f"count{k}") for k in range(1, len(phrases))), F.col("count0")).alias("n_base"),
         F.array_min(F.array(*[F.col(f"first{k}") for k in range(len(phrases))])).alias("first_word"),
         F.array_max(F.array(*[F.col(f"last{k}") for k in range(len(phrases))])).alias("last_word"),
@@ -100,24 +121,28 @@ def _base(docs: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:
     )
 
 
-def template_sets(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
-    """Templates with their words in global order, and that order: by documents that hold the word, then by the word.
+def template_sets(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """`template`, `label`, `tokens` (the distinct words), `size`, `need`.
 
-    `template`, `label`, `tokens`, `size`, `need`. Templates must not be longer
-    than half a block, so that a whole notice is always inside one.
+    Templates must not be longer than half a block, so that a whole notice is
+    always inside one.
     """
-    rows = docs.sparkSession.createDataFrame([(k, label, text) for k, (text, label) in enumerate(templates)], "template int, label string, text string")
+    rows = spark.createDataFrame([(k, label, text) for k, (text, label) in enumerate(templates)], "template int, label string, text string")
     rows = rows.select("template", "label", words_of(F.col("text")).alias("words"))
     if rows.filter(F.size("words") > BLOCK // 2).limit(1).count():
         raise ValueError(f"a template has more than {BLOCK // 2} words")
-    each = rows.select("template", "label", F.explode(F.array_distinct("words")).alias("token"))
-    universe = [r["token"] for r in each.select("token").distinct().orderBy("token").collect()]
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), _literal(universe))).alias("token"))
+    sets = rows.select("template", "label", F.array_distinct("words").alias("tokens"))
+    sets = sets.withColumn("size", F.size("tokens")).filter("size > 0")
+    return sets.withColumn("need", F.floor((F.col("size") * THRESHOLD + 99) / 100).cast("int"))
+
+
+def in_order(sets: DataFrame, scanned: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The templates with their words in global order, and that order: by documents that hold the word, then by the word."""
+    universe = {w for r in sets.select("tokens").collect() for w in r["tokens"]}
+    held = scanned.select(F.explode("held").alias("token"))
     many = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
     order = sorted(universe, key=lambda w: (many.get(w, 0), w))
-    sets = rows.select("template", "label", F.array_intersect(_literal(order), F.col("words")).alias("tokens"))
-    sets = sets.withColumn("size", F.size("tokens")).filter("size > 0")
-    return sets.withColumn("need", F.floor((F.col("size") * THRESHOLD + 99) / 100).cast("int")), order
+    return sets.withColumn("tokens", F.array_intersect(_literal(order), F.col("tokens"))), order
 
 
 def blocks_of(words: Column) -> Column:
@@ -127,18 +152,15 @@ def blocks_of(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(words, k * half + 1, F.lit(BLOCK)))
 
 
-def containments(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def containments(scanned: DataFrame, sets: DataFrame) -> DataFrame:
     """`mark`, `block`, `template`, `label`, `overlap`, `size`: every block of a text that contains a template.
 
     `mark` is the MD5 of the text, so equal texts share their rows.
     """
-    sets, order = template_sets(docs, templates)
+    sets, order = in_order(sets, scanned)
     ranked = _literal(order)
     prefix = sets.select("template", "size", "need", F.posexplode("tokens").alias("p", "token")).filter("p <= size - need")
-    starts = [r["token"] for r in prefix.select("token").distinct().collect()]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.md5(text.cast("binary")).alias("mark"), words_of(F.col("text")).alias("words"))
-    rows = rows.filter(F.arrays_overlap("words", _literal(starts)))
+    rows = scanned.filter("words IS NOT NULL").select("mark", "words")
     blocks = rows.select("mark", F.posexplode(blocks_of(F.col("words"))).alias("block", "words"))
     blocks = blocks.select("mark", "block", F.array_intersect(ranked, F.col("words")).alias("held")).withColumn("n", F.size("held")).filter("n > 0")
     tokens = blocks.select("mark", "block", "n", "held", F.posexplode("held").alias("q", "token"))
@@ -171,9 +193,11 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     get a row each; texts may be of any length; an empty table gives no rows;
     other columns are ignored.
     """
-    hits = containments(docs, templates).groupBy("mark").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
+    sets = template_sets(docs.sparkSession, templates)
+    scanned = written(_scanned(docs, sets, phrases), "scanned")
+    hits = containments(scanned, sets).groupBy("mark").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
     hits = written(hits, "licenses")
-    rows = _base(docs, phrases).join(broadcast_if_small(hits, SMALL), "mark", "left")
+    rows = scanned.drop("held", "words").join(broadcast_if_small(hits, SMALL), "mark", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return rows.select(

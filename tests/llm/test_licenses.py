@@ -86,3 +86,16 @@ def test_no_python_in_the_plan(spark, sf_dir, capsys):
     licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).explain()
     plan = capsys.readouterr().out
     assert "Scan" in plan and not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_texts_are_cut_into_words_once(spark, docs_of, monkeypatch):
+    plans = []
+    written = licenses.written
+
+    def seen(table, label):
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return written(table, label)
+
+    monkeypatch.setattr(licenses, "written", seen)
+    same(docs_of(ODD), ODD)
+    assert len(plans) == 2 and plans[0].count("split(") == 1 and "regexp_extract_all(lower" not in plans[0] + plans[1]
