@@ -130,6 +130,8 @@ def page_fields(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
 GRAM = 3
 #: Pieces whose lookup table every task may hold.
 GRAM_LIMIT = 1_000_000
+#: Keywords up to which testing a text for each costs less than taking its pieces.
+TESTED_KEYWORDS = 500
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -140,19 +142,25 @@ def _grams(text: Column, size: int) -> Column:
 def table_matches(texts: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """One row per text and keyword it contains, for keywords that are rows of a table.
 
-    Upper and lower case are alike; a keyword matches anywhere in a text. Each
+    Upper and lower case are alike; a keyword matches anywhere in a text. Every
+    text is tested for each of up to TESTED_KEYWORDS keywords. Of more, each
     keyword is filed under the one of its pieces of GRAM characters that fewest
     texts have (shorter keywords under themselves); texts meet only the keywords
     filed under pieces they have, and a search for the whole keyword decides.
-    Equal texts are searched once. Null and empty keywords match nothing.
+    Then the pieces of equal texts are taken once. Null and empty keywords match
+    nothing.
     """
+    shared_folder(texts.sparkSession)
     words = keywords.select("keyword").filter(F.length("keyword") > 0).distinct()
     words = words.withColumn("__word", F.lower("keyword")).withColumn(
         "__size", F.least(F.length("__word"), F.lit(GRAM))
-    )
+    ).checkpoint()  # as many rows as keywords
+    if words.limit(TESTED_KEYWORDS + 1).count() <= TESTED_KEYWORDS:
+        lowered = texts.withColumn("__lower", F.lower(F.col(text)))
+        tested = F.broadcast(words.select("keyword", "__word"))
+        met = lowered.join(tested, F.col("__lower").contains(F.col("__word")))
+        return met.select(*[texts[f"`{c}`"] for c in texts.columns], tested["keyword"])
     sizes = sorted(r[0] for r in words.select("__size").distinct().collect())
-    if not sizes:
-        return texts.withColumn("keyword", F.lit(None).cast("string")).limit(0)
     by_size = F.when(F.col("__size") == sizes[0], _grams(F.col("__word"), sizes[0]))
     for size in sizes[1:]:
         by_size = by_size.when(F.col("__size") == size, _grams(F.col("__word"), size))
@@ -169,7 +177,6 @@ def table_matches(texts: DataFrame, text: str, keywords: DataFrame) -> DataFrame
     best = filed.join(frequency, "__gram", "left").groupBy("keyword", "__word").agg(
         F.min_by("__gram", order).alias("__gram")
     )
-    shared_folder(texts.sparkSession)
     best = best.checkpoint()  # as many rows as keywords
     candidates = held.join(broadcast_if_small(best, GRAM_LIMIT), "__gram").select(
         "__mark", "keyword", "__word"

@@ -116,3 +116,17 @@ def test_a_hundred_thousand_keywords(spark):
     assert found.count() == 800
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_few_keywords_take_no_pieces_of_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("abcdÉ ß") for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(0, "ab"), (1, None), (2, "")]
+    words = ["".join(rng.choice("abcdé ß") for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(60)] + ["AB", "ab", None, ""]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    few = digest.table_matches(docs, "text", table)
+    assert few.columns == ["id", "text", "keyword"]
+    assert "regexp_extract_all" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(digest, "TESTED_KEYWORDS", 0)
+    many = digest.table_matches(docs, "text", table)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() > 200
