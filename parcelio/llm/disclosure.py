@@ -40,6 +40,10 @@ PAIRS = 1 << 18
 REPEATED_LIMIT = 1 << 18
 #: Terms that a task looks for, at most (8 bytes each); with more, all terms are counted.
 TERM_LIMIT = 1 << 18
+#: Telling pairs of value and term that every task may get (some 80 bytes each).
+TOLD_LIMIT = 1 << 18
+#: Numbers of texts with telling terms that every task may get (some 50 bytes each).
+TELLING_TEXTS = 1 << 21
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -249,6 +253,7 @@ def telling_terms(docs: DataFrame) -> DataFrame:
     told = both.join(counts, "term").select("class", "term", unknown.alias("unknown"), gain.alias("gain"))
     told = told.filter((F.col("unknown") <= GENERALISE_BITS) & (F.col("gain") >= LEAST_GAIN))
     told = told.select("class", "term", F.when(F.col("unknown") <= REMOVE_BITS, "remove").otherwise("generalise").alias("kind"))
+    told = broadcast_if_small(written(told, "told"), TOLD_LIMIT)
     terms = pairs.select("mark", "class", "term").join(told, ["class", "term"]).groupBy("mark", "term").agg(F.max("kind").alias("kind"))
     terms = terms.groupBy("mark").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
     terms = texts.select("mark", "text").join(terms, "mark").mapInArrow(_places, "mark string, terms array<struct<kind:string,start:int,end:int>>")
@@ -327,8 +332,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """
     terms = telling_terms(docs)
     text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text.alias("text"))
-    rows = rows.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(terms, "mark", "left").select("row", "text", "terms")
-    kinds = rows.select("row", "text").schema
-    out = rows.mapInArrow(_sanitise, kinds)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(True).alias("none")]
+    rows = docs.select(F.struct(*others).alias("row"), text.alias("text"))
+    rows = rows.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    # Only texts with telling terms meet their terms; the others stay where they are.
+    telling = broadcast_if_small(terms.select(F.xxhash64("mark").alias("number")).distinct(), TELLING_TEXTS)
+    met = F.xxhash64(rows["mark"]) == telling["number"]
+    told = rows.join(telling, met, "left_semi").join(terms, "mark", "left").select("row", "text", "terms")
+    plain = rows.join(telling, met, "left_anti").select("row", "text", F.lit(None).cast(terms.schema["terms"].dataType).alias("terms"))
+    out = plain.unionAll(told).mapInArrow(_sanitise, rows.select("row", "text").schema)
     return out.select(*[F.col("text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

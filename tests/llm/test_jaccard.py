@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from parcelio.llm import jaccard
+from parcelio.llm import disclosure, jaccard
 from parcelio.llm import tokens as T
 
 
@@ -55,3 +55,18 @@ def test_texts_of_compared_classes_are_not_sent(spark, docs_of, monkeypatch):
     assert set(found.values()) == {0}
     plans = [plan for label, plan in plans if label == "whole-sets"]
     assert plans and not any("Exchange" in plan or "Join" in plan for plan in plans)
+
+
+def test_stages_keep_texts_where_they_are(spark, docs_of):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[i % 3 :], f"mail a{i // 2}@b.org code{i // 2}"])) for i in range(12)] + [(None, None), (20, "")]
+    docs = docs_of(rows)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (jaccard.one_per_group, disclosure.sanitised):
+            plan = stage(docs)._jdf.queryExecution().executedPlan().toString()
+            assert "LeftAnti" in plan and "SortMergeJoin" not in plan.split("LeftAnti")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert disclosure.sanitised(docs).count() == len(rows)
