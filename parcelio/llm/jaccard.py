@@ -10,7 +10,11 @@ must agree in more tokens before they are compared.
 
 The join works on classes of equal sets, and never forms all pairs of a dense
 group: each prefix token first links its members to one central member; after
-that only pairs from different components are formed.
+that only pairs from different components are formed, and of tokens with three
+members or more only: with two, the central one has met them all. Only the
+document that stands for its class has postings, which are sent by token once.
+The members of a very frequent token are dealt into shares, each with a centre
+of its own.
 
 What is counted over all documents is sent packed: sorted 40-bit values of
 tokens, as compressed differences. Only postings of tokens whose value occurs
@@ -26,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelio.functions.nulls import broadcast_if_small
@@ -37,7 +41,11 @@ from parcelio.llm.shared import texts, written
 #: Most tokens in the table of frequent tokens that every task gets (24 bytes each).
 FREQUENT_TOKENS = 1 << 18
 #: Tokens of a run of rows; those that occur once in it aren't counted.
-RUN_TOKENS = 1 << 21
+RUN_TOKENS = 1 << 20
+#: Text that is cut into shingles at a time.
+PART_BYTES = 1 << 20
+#: Members of a token in one share, about.
+SHARE_MEMBERS = 1 << 12
 #: A token joins that table from this many documents on.
 FREQUENT_FROM = 4
 #: Largest length step.
@@ -54,7 +62,7 @@ CHUNK_BITS = 20
 DROPPED_IDS = 1 << 21
 _TOP = np.uint64(1 << 63)
 _ROWS = "kind int, doc_id long, key long, n long"
-_POSTINGS = "token long, key long, info long"
+_POSTINGS = "token long, share int, key long, info long"
 _PACKED = "chunk long, n long, delta binary, many binary"
 _MARKS = "chunk long, bits binary"
 
@@ -80,9 +88,18 @@ def _numbers(packed: bytes, n: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(plain.reshape(width, n).T).view(f"<u{width}").ravel().astype(np.uint64)
 
 
+def _counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and how often each occurs; empties the list to save memory."""
+    every = np.concatenate(values or [np.zeros(0, np.uint64)])
+    values.clear()
+    every.sort()
+    first = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
+    return every[first], np.diff(first, append=len(every))
+
+
 def _packed(values: list[np.ndarray], chunks: int) -> pa.RecordBatch:
     """The distinct values with their counts, a row for each of 2**chunks ranges of values."""
-    value, many = np.unique(np.concatenate(values or [np.zeros(0, np.uint64)]), return_counts=True)
+    value, many = _counted(values)
     chunk = value >> np.uint64(VALUE_BITS - chunks)
     begin = np.flatnonzero(np.diff(chunk, prepend=np.uint64(1 << chunks))).tolist()
     rows = [slice(a, b) for a, b in zip(begin, [*begin[1:], len(value)])]
@@ -158,19 +175,26 @@ def _is_marked(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _parts(batches: Iterator[pa.RecordBatch], ids: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows, or those whose id is marked in `ids`, in runs of about PART_BYTES of text."""
+    for batch in batches:
+        if ids is not None:
+            batch = batch.filter(pa.array(_is_marked(ids.value, _slots(_id_values(batch.column("doc_id")), 64, ids.value))))
+        yield from T.slices(batch, size=PART_BYTES)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: each row's id, set key and size. Kind 1: tokens that occur more than once in a run of rows."""
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     seen: list[np.ndarray] = []
 
     def repeated() -> pa.RecordBatch:
-        token, many = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
+        token, many = _counted(seen)
         token, many = _value(token[many > 1]), many[many > 1]
-        seen.clear()
         none = pa.nulls(len(token), pa.int64())
         return _batch({"kind": np.ones(len(token), np.int32), "doc_id": none, "key": token.view(np.int64), "n": many}, types)
 
-    for part in (part for batch in batches for part in T.slices(batch)):
+    for part in _parts(batches):
         ids, sets = part.column("doc_id"), T.shingle_sets(part.column("text"))
         keys = T.set_keys(sets).view(np.int64)
         yield _batch({"kind": np.zeros(len(ids), np.int32), "doc_id": ids, "key": keys, "n": np.diff(sets.first)}, types)
@@ -185,18 +209,19 @@ def _step(cost: int, most: int) -> int:
     return min(most, STEP_LIMIT, 1 + int(cost).bit_length())
 
 
-def _postings(frequent: Broadcast, chunks: int | None = None, marks: Broadcast | None = None):
+def _postings(frequent: Broadcast, ids: Broadcast, chunks: int | None = None, marks: Broadcast | None = None):
     """The postings that `marks` passes, or with `chunks` the packed values of their tokens.
 
     `frequent`: values ascending, their rank by frequency, their frequency.
-    Frequent tokens always pass.
+    Frequent tokens always pass. `ids`: the documents that have postings.
+    `share` is 0 for a token whose members aren't dealt into shares.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank, df = frequent.value
         done: set[int] = set()
         values: list[np.ndarray] = []
-        for part in (part for batch in batches for part in T.slices(batch)):
+        for part in _parts(batches, ids):
             sets = T.shingle_sets(part.column("text"))
             keys = T.set_keys(sets)
             token, cost = sets.token & ~_TOP, np.zeros(len(sets.token), np.int64)
@@ -207,7 +232,7 @@ def _postings(frequent: Broadcast, chunks: int | None = None, marks: Broadcast |
                 # Tokens of one value have one rank, and stay apart by their own bits.
                 token[hit] = _TOP | rank[at[hit]].astype(np.uint64) << np.uint64(44) | token[hit] & np.uint64((1 << 44) - 1)
                 cost[hit] = df[at[hit]]
-            out: list[tuple[np.ndarray, int, np.ndarray]] = []
+            out: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
             for i, key in enumerate(keys.tolist()):
                 a, b = int(sets.first[i]), int(sets.first[i + 1])
                 if a == b or key in done:
@@ -219,25 +244,25 @@ def _postings(frequent: Broadcast, chunks: int | None = None, marks: Broadcast |
                 step = _step(int(cost[a:b][by[:base]].sum()), need)
                 first = by[: min(n, n - need + step)]
                 info = (n << 34) | (np.arange(len(first), dtype=np.int64) << 4) | step
-                out.append((token[a:b][first], key, info))
+                out.append((token[a:b][first], key, info, _share(token[a:b][first], key, cost[a:b][first])))
             if chunks is not None:
                 values += [_value(x[0][x[0] < _TOP]) for x in out]
                 if sum(map(len, values)) >= RUN_TOKENS:
                     yield _packed(values, chunks)
-                    values.clear()
                 continue
             if marks is not None:
                 passed = [(x[0] >= _TOP) | _is_marked(marks.value, _slots(_value(x[0]), VALUE_BITS, marks.value)) for x in out]
-                out = [(x[0][p], x[1], x[2][p]) for x, p in zip(out, passed)]
+                out = [(x[0][p], x[1], x[2][p], x[3][p]) for x, p in zip(out, passed)]
             if out:
                 lengths = [len(x[0]) for x in out]
                 yield _batch(
                     {
                         "token": np.concatenate([x[0] for x in out]).view(np.int64),
+                        "share": np.concatenate([x[3] for x in out]),
                         "key": np.repeat(np.array([x[1] for x in out], np.uint64).view(np.int64), lengths),
                         "info": np.concatenate([x[2] for x in out]),
                     },
-                    [pa.int64()] * 3,
+                    [pa.int64(), pa.int32(), pa.int64(), pa.int64()],
                 )
         if values:
             yield _packed(values, chunks)
@@ -245,18 +270,24 @@ def _postings(frequent: Broadcast, chunks: int | None = None, marks: Broadcast |
     return emit
 
 
+def _share(token: np.ndarray, key: int, df: np.ndarray) -> np.ndarray:
+    """The share of each token in which this class is, from 1; 0 for tokens of few members."""
+    shares = df // SHARE_MEMBERS + 1
+    return np.where(shares > 1, 1 + (T.mix(token ^ np.uint64(key)) % shares.astype(np.uint64)).astype(np.int64), 0).astype(np.int32)
+
+
 def _slots(value: np.ndarray, width: int, bitmap: np.ndarray) -> np.ndarray:
     """Places of values of `width` bits in a bitmap: their first bits."""
     return (value >> np.uint64(width - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
 
 
-def _smallest(chunks: int):
+def _smallest(chunks: int, ids: Broadcast):
     """The quarter of each distinct set's tokens with the smallest hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         found: list[np.ndarray] = []
-        for part in (part for batch in batches for part in T.slices(batch)):
+        for part in _parts(batches, ids):
             sets = T.shingle_sets(part.column("text"))
             keys = T.set_keys(sets).tolist()
             for key, a, b in zip(keys, sets.first[:-1].tolist(), sets.first[1:].tolist()):
@@ -265,14 +296,13 @@ def _smallest(chunks: int):
                     found.append(_value(sets.token[a : a + (b - a) // 4 + 1]))
             if sum(map(len, found)) >= RUN_TOKENS:
                 yield _packed(found, chunks)
-                found.clear()
         if found:
             yield _packed(found, chunks)
 
     return run
 
 
-def _frequent(docs: DataFrame, rows: DataFrame, chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, rows: DataFrame, chunks: int, ids: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The values of the most frequent tokens, at most FREQUENT_TOKENS, as arrays.
 
     Tokens with small hashes, which prefixes by hash alone would hold, are
@@ -280,7 +310,7 @@ def _frequent(docs: DataFrame, rows: DataFrame, chunks: int) -> tuple[np.ndarray
     not counted, so a count may be too low by one for each run. The order is the
     same everywhere all the same, which is all that the result depends on.
     """
-    exact = docs.mapInArrow(_smallest(chunks), _PACKED).groupBy("chunk").applyInArrow(_often(chunks), "key long, df long")
+    exact = docs.mapInArrow(_smallest(chunks, ids), _PACKED).groupBy("chunk").applyInArrow(_often(chunks), "key long, df long")
     runs = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("df"))
     counted = exact.unionAll(runs.filter(F.col("df") >= FREQUENT_FROM))
     top = counted.groupBy("key").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "key").limit(FREQUENT_TOKENS).toArrow()
@@ -307,10 +337,41 @@ def _meets(a: str, b: str) -> str:
 
 
 def _matched(pairs: DataFrame) -> DataFrame:
-    """Pairs (`a`, `b`) that met in enough tokens; from rows `a`, `b`, `ia`, `ib` per shared token."""
-    la, lb = _place("ia")[2], _place("ib")[2]
-    met = pairs.select("a", "b", F.expr(f"least({la}, {lb})").alias("need"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
+    """Pairs (`a` < `b`) with how often they met, `c`, in how many tokens without other members, `two`, and `need`.
+
+    From rows `a`, `b`, `need`, `n` (times) and `alone` (whether in tokens without other members).
+    """
+    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "need", "n", "alone")
+    return met.groupBy("a", "b").agg(F.sum("n").alias("c"), F.sum(F.expr("if(alone, n, 0)")).alias("two"), F.min("need").alias("need"))
+
+
+def _needed(a: str, b: str) -> Column:
+    """In how many tokens two documents with these `info` must meet."""
+    return F.expr(f"least({_place(a)[2]}, {_place(b)[2]})")
+
+
+def _postings_met(postings: DataFrame) -> DataFrame:
+    """`key`, `info`, its pair with the centre (`b`, `need`; null if none), and for tokens of three members or more `token` and `share`.
+
+    The postings are sent by token and share, and no further: the member with the
+    fewest rarer tokens before this one is the most central. Postings that meet
+    nothing are dropped; a class that comes twice may count twice among the members.
+    """
+    group = Window.partitionBy("token", "share")
+    order = F.expr(f"({_place('info')[1]} << 33) | shiftrightunsigned(key, 31)")
+    ordered = group.orderBy("o", "key")
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = postings.repartition("token", "share").withColumn("o", order).select(
+        "token", "share", "key", "info",
+        F.first("key").over(every).alias("b"), F.first("info").over(every).alias("ib"),
+        F.count("*").over(every).alias("c"), F.lag("key").over(ordered).alias("before"),
+    )
+    met = met.filter("(c > 1 OR share > 0) AND NOT coalesce(key = before, false)")
+    met = met.withColumn("many", F.expr("c > 2 OR share > 0")).withColumn("paired", F.expr(f"key <> b AND {_meets('info', 'ib')}"))
+    return met.filter("many OR paired").select(
+        "key", "info", F.expr("if(paired, b, null)").alias("b"), F.when(F.col("paired"), _needed("info", "ib")).alias("need"),
+        F.expr("if(many, token, null)").alias("token"), F.expr("if(many, share, null)").alias("share"),
+    )
 
 
 def _compare(kind: str):
@@ -384,21 +445,26 @@ def _chunk_marks(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch({"chunk": [table.column("chunk")[0].as_py()], "bits": [bits]}, [pa.int64(), pa.binary()])])
 
 
+def _marked_ids(ids: DataFrame) -> Broadcast:
+    """A bitmap of the ids in `rep`, with 32 bits or more for each while MARK_BITS allows it. A few other ids may pass."""
+    bits = min(MARK_BITS, max(CHUNK_BITS, (32 * ids.count()).bit_length()))
+    parts = ids.select("rep").mapInArrow(_id_slots(bits), "chunk long, slot long").groupBy("chunk").applyInArrow(_chunk_marks, _MARKS)
+    return ids.sparkSession.sparkContext.broadcast(_bitmap(parts, bits, CHUNK_BITS))
+
+
 def _whole_sets(marks: Broadcast, stored: Callable[[np.ndarray], bytes]):
     """Sets of the documents whose ids are marked, each class once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for batch in batches:
-            mine = _is_marked(marks.value, _slots(_id_values(batch.column("doc_id")), 64, marks.value))
-            for part in T.slices(batch.filter(pa.array(mine))):
-                sets = T.shingle_sets(part.column("text"))
-                found = {}
-                for i, key in enumerate(T.set_keys(sets).view(np.int64).tolist()):
-                    if key not in done and sets.first[i] < sets.first[i + 1]:
-                        done.add(key)
-                        found[key] = stored(sets.token[sets.first[i] : sets.first[i + 1]])
-                yield _batch({"key": list(found), "tokens": list(found.values())}, [pa.int64(), pa.binary()])
+        for part in _parts(batches, marks):
+            sets = T.shingle_sets(part.column("text"))
+            found = {}
+            for i, key in enumerate(T.set_keys(sets).view(np.int64).tolist()):
+                if key not in done and sets.first[i] < sets.first[i + 1]:
+                    done.add(key)
+                    found[key] = stored(sets.token[sets.first[i] : sets.first[i + 1]])
+            yield _batch({"key": list(found), "tokens": list(found.values())}, [pa.int64(), pa.binary()])
 
     return run
 
@@ -411,10 +477,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, stored: Call
     joins with the pairs drop them.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("rep")
-    wanted = written(wanted, "wanted")
-    bits = min(MARK_BITS, max(CHUNK_BITS, (32 * wanted.count()).bit_length()))
-    parts = wanted.mapInArrow(_id_slots(bits), "chunk long, slot long").groupBy("chunk").applyInArrow(_chunk_marks, _MARKS)
-    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(parts, bits, CHUNK_BITS))
+    marks = _marked_ids(written(wanted, "wanted"))
     return written(docs.mapInArrow(_whole_sets(marks, stored), "key long, tokens binary"), "whole-sets")
 
 
@@ -434,29 +497,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = written(docs.mapInArrow(_describe, _ROWS), "sets")
     of_rows = rows.filter("kind = 0")
     send = docs.sparkSession.sparkContext.broadcast
-    prefixes = (of_rows.agg(F.sum("n")).first()[0] or 0) // 4
+    classes = written(of_rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    prefixes = (classes.agg(F.sum("n")).first()[0] or 0) // 4
     chunks = _chunks(prefixes)
-    frequent = send(_frequent(docs, rows, chunks))
+    ids = _marked_ids(classes)
+    frequent = send(_frequent(docs, rows, chunks, ids))
     bits = min(MARK_BITS, max(chunks + 3, prefixes.bit_length() + 1))
-    counted = docs.mapInArrow(_postings(frequent, chunks=chunks), _PACKED).groupBy("chunk").applyInArrow(_twice(chunks, bits), _MARKS)
+    counted = docs.mapInArrow(_postings(frequent, ids, chunks=chunks), _PACKED).groupBy("chunk").applyInArrow(_twice(chunks, bits), _MARKS)
     marks = send(_bitmap(counted, bits, bits - chunks))
-    met = docs.mapInArrow(_postings(frequent, marks=marks), _POSTINGS).groupBy("token", "key").agg(F.min("info").alias("info"))
-    met = written(met, "postings")
+    met = written(_postings_met(docs.mapInArrow(_postings(frequent, ids, marks=marks), _POSTINGS)), "postings")
 
-    classes = of_rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-
-    # The member with the fewest rarer tokens before this one is the most central.
-    order = F.expr(f"({_place('info')[1]} << 33) | shiftrightunsigned(key, 31)")
-    centre = met.withColumn("o", order).groupBy("token").agg(F.min_by("key", "o").alias("b"), F.min_by("info", "o").alias("ib"))
-    star = met.join(centre, "token").filter("key <> b").filter(_meets("info", "ib"))
-    pairs = written(_matched(star.select(F.col("key").alias("a"), "b", F.col("info").alias("ia"), "ib")), "candidates")
-    near = written(_verified(docs, classes, pairs), "links")
+    star = met.filter("b IS NOT NULL").select(F.col("key").alias("a"), "b", "need", F.lit(1).alias("n"), F.col("token").isNull().alias("alone"))
+    pairs = written(_matched(star).filter("c >= need OR two > 0"), "candidates")
+    near = written(_verified(docs, classes, pairs.filter("c >= need").select("a", "b")), "links")
     labels = components(near)
-
-    whose = met.join(labels.withColumnRenamed("node", "key"), "key", "left")
-    whose = whose.select("token", "key", "info", F.coalesce("label", "key").alias("part"))
-    mixed = whose.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("token")
-    whose = written(whose.join(mixed, "token"), "mixed")
+    # Met in tokens without other members, which are looked at no more, but not often enough.
+    begun = pairs.filter("c < need").select("a", "b", "need", F.col("two").alias("n"), F.lit(True).alias("alone"))
+
+    whose = met.filter("token IS NOT NULL").select("token", "share", "key", "info")
+    whose = whose.join(labels.withColumnRenamed("node", "key"), "key", "left").repartition("token", "share")
+    whose = whose.select("token", "share", "key", "info", F.coalesce("label", "key").alias("part"))
+    group = Window.partitionBy("token", "share")
+    whose = whose.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group)})
+    whose = written(whose.filter("lo < hi OR share > 0").select("token", "key", "info", "part"), "mixed")
     size = F.expr(_place("info")[0])
     parts = whose.groupBy("token", "part").agg(
         F.min(size).alias("low"), F.max(size).alias("high"), F.count("*").alias("c"), F.min("info").alias("info"),
@@ -484,7 +547,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     n, place, step = _place("ia")
     fits = F.expr(f"4 * {n} >= 3 * low AND 4 * high >= 3 * {n} AND 7 * {place} - 4 * {n} - 7 * {step} + 3 * low < 0")
     rest = apart.join(left, ["token", "p"]).filter(fits).join(right, ["token", "q"]).filter(_meets("ia", "ib"))
-    pairs = written(_matched(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ia", "ib")), "candidates")
+    rest = rest.select("a", "b", _needed("ia", "ib").alias("need"), F.lit(1).alias("n"), F.lit(False).alias("alone"))
+    pairs = written(_matched(rest.unionByName(begun)).filter("c >= need").select("a", "b"), "candidates")
     far = _verified(docs, classes, pairs)
     far = far.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     far = far.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

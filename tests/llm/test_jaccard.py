@@ -70,3 +70,46 @@ def test_stages_keep_texts_where_they_are(spark, docs_of):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert disclosure.sanitised(docs).count() == len(rows)
+
+
+def test_copies_and_pairs_are_not_sent_again(spark, docs_of, monkeypatch):
+    copy = " ".join(f"w{i}" for i in range(60))
+    apart = [" ".join([*(f"s{k}x{j}" for j in range(9)), *(f"d{k}y{side}z{j}" for j in range(9))]) for k in range(40) for side in (0, 1)]
+    rows = [(i, copy) for i in range(16)] + [(100 + i, text) for i, text in enumerate(apart)]
+    sizes = {}
+    written = jaccard.written
+
+    def seen(table, label):
+        found = written(table, label)
+        sizes.setdefault(label, []).append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    jaccard.jaccard_components(docs_of(rows[:16]).repartition(8)).collect()
+    assert sizes["postings"] == [0]
+    sizes.clear()
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(rows).repartition(8)).collect()}
+    assert found == {i: 0 if i < 16 else i for i, _ in rows}
+    assert sizes["postings"][0] > 0 and sizes["mixed"] == [0]
+
+
+def test_postings_meet_their_centre_in_one_exchange(spark):
+    def info(place):
+        return 40 << 34 | place << 4 | 2
+
+    rows = [(1, 0, 10, info(0)), (1, 0, 11, info(1))]  # two members
+    rows += [(2, 0, 10, info(1)), (2, 0, 11, info(0)), (2, 0, 12, info(2)), (2, 0, 12, info(2))]  # three, one twice
+    rows += [(3, 0, 13, info(0)), (4, 0, 14, info(0)), (4, 0, 14, info(0))]  # one, and one twice
+    rows += [(5, 1, 15, info(0)), (5, 2, 16, info(0))]  # one in each share
+    rows += [(6, 0, 10, info(30)), (6, 0, 11, info(0))]  # outside the pair's prefixes
+    met = jaccard._postings_met(spark.createDataFrame(rows, jaccard._POSTINGS))
+    assert sorted(((r.key, r.b, r.need, r.token, r.share) for r in met.collect()), key=str) == sorted(
+        [(11, 10, 2, None, None), (10, 11, 2, 2, 0), (11, None, None, 2, 0), (12, 11, 2, 2, 0), (15, None, None, 5, 1), (16, None, None, 5, 2)], key=str
+    )
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_very_frequent_tokens_are_dealt_into_shares():
+    token, df = tokens_of(3, 3), np.array([10, 5_000, 100_000])
+    shares = np.array([jaccard._share(token, key, df) for key in range(2_000)])
+    assert set(shares[:, 0]) == {0} and set(shares[:, 1]) == {1, 2} and set(shares[:, 2]) == set(range(1, 26))
