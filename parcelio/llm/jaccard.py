@@ -13,8 +13,6 @@ group: each prefix token first links its members to one central member; after
 that only pairs from different components are formed, and of tokens with three
 members or more only: with two, the central one has met them all. Only the
 document that stands for its class has postings, which are sent by token once.
-The members of a very frequent token are dealt into shares, each with a centre
-of its own.
 
 What is counted over all documents is sent packed: sorted 40-bit values of
 tokens, as compressed differences. Only postings of tokens whose value occurs
@@ -44,8 +42,6 @@ FREQUENT_TOKENS = 1 << 18
 RUN_TOKENS = 1 << 20
 #: Text that is cut into shingles at a time.
 PART_BYTES = 1 << 20
-#: Members of a token in one share, about.
-SHARE_MEMBERS = 1 << 12
 #: A token joins that table from this many documents on.
 FREQUENT_FROM = 4
 #: Largest length step.
@@ -62,7 +58,7 @@ CHUNK_BITS = 20
 DROPPED_IDS = 1 << 21
 _TOP = np.uint64(1 << 63)
 _ROWS = "kind int, doc_id long, key long, n long"
-_POSTINGS = "token long, share int, key long, info long"
+_POSTINGS = "token long, key long, info long"
 _PACKED = "chunk long, n long, delta binary, many binary"
 _MARKS = "chunk long, bits binary"
 
@@ -214,7 +210,6 @@ def _postings(frequent: Broadcast, ids: Broadcast, chunks: int | None = None, ma
 
     `frequent`: values ascending, their rank by frequency, their frequency.
     Frequent tokens always pass. `ids`: the documents that have postings.
-    `share` is 0 for a token whose members aren't dealt into shares.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +227,7 @@ def _postings(frequent: Broadcast, ids: Broadcast, chunks: int | None = None, ma
                 # Tokens of one value have one rank, and stay apart by their own bits.
                 token[hit] = _TOP | rank[at[hit]].astype(np.uint64) << np.uint64(44) | token[hit] & np.uint64((1 << 44) - 1)
                 cost[hit] = df[at[hit]]
-            out: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, int, np.ndarray]] = []
             for i, key in enumerate(keys.tolist()):
                 a, b = int(sets.first[i]), int(sets.first[i + 1])
                 if a == b or key in done:
@@ -244,7 +239,7 @@ def _postings(frequent: Broadcast, ids: Broadcast, chunks: int | None = None, ma
                 step = _step(int(cost[a:b][by[:base]].sum()), need)
                 first = by[: min(n, n - need + step)]
                 info = (n << 34) | (np.arange(len(first), dtype=np.int64) << 4) | step
-                out.append((token[a:b][first], key, info, _share(token[a:b][first], key, cost[a:b][first])))
+                out.append((token[a:b][first], key, info))
             if chunks is not None:
                 values += [_value(x[0][x[0] < _TOP]) for x in out]
                 if sum(map(len, values)) >= RUN_TOKENS:
@@ -252,17 +247,16 @@ def _postings(frequent: Broadcast, ids: Broadcast, chunks: int | None = None, ma
                 continue
             if marks is not None:
                 passed = [(x[0] >= _TOP) | _is_marked(marks.value, _slots(_value(x[0]), VALUE_BITS, marks.value)) for x in out]
-                out = [(x[0][p], x[1], x[2][p], x[3][p]) for x, p in zip(out, passed)]
+                out = [(x[0][p], x[1], x[2][p]) for x, p in zip(out, passed)]
             if out:
                 lengths = [len(x[0]) for x in out]
                 yield _batch(
                     {
                         "token": np.concatenate([x[0] for x in out]).view(np.int64),
-                        "share": np.concatenate([x[3] for x in out]),
                         "key": np.repeat(np.array([x[1] for x in out], np.uint64).view(np.int64), lengths),
                         "info": np.concatenate([x[2] for x in out]),
                     },
-                    [pa.int64(), pa.int32(), pa.int64(), pa.int64()],
+                    [pa.int64()] * 3,
                 )
         if values:
             yield _packed(values, chunks)
@@ -270,12 +264,6 @@ def _postings(frequent: Broadcast, ids: Broadcast, chunks: int | None = None, ma
     return emit
 
 
-def _share(token: np.ndarray, key: int, df: np.ndarray) -> np.ndarray:
-    """The share of each token in which this class is, from 1; 0 for tokens of few members."""
-    shares = df // SHARE_MEMBERS + 1
-    return np.where(shares > 1, 1 + (T.mix(token ^ np.uint64(key)) % shares.astype(np.uint64)).astype(np.int64), 0).astype(np.int32)
-
-
 def _slots(value: np.ndarray, width: int, bitmap: np.ndarray) -> np.ndarray:
     """Places of values of `width` bits in a bitmap: their first bits."""
     return (value >> np.uint64(width - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
@@ -351,26 +339,26 @@ def _needed(a: str, b: str) -> Column:
 
 
 def _postings_met(postings: DataFrame) -> DataFrame:
-    """`key`, `info`, its pair with the centre (`b`, `need`; null if none), and for tokens of three members or more `token` and `share`.
+    """`key`, `info`, its pair with the centre (`b`, `need`; null if none), and for tokens of three members or more `token`.
 
-    The postings are sent by token and share, and no further: the member with the
+    The postings are sent by token, and no further: the member with the
     fewest rarer tokens before this one is the most central. Postings that meet
     nothing are dropped; a class that comes twice may count twice among the members.
     """
-    group = Window.partitionBy("token", "share")
+    group = Window.partitionBy("token")
     order = F.expr(f"({_place('info')[1]} << 33) | shiftrightunsigned(key, 31)")
     ordered = group.orderBy("o", "key")
     every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = postings.repartition("token", "share").withColumn("o", order).select(
-        "token", "share", "key", "info",
+    met = postings.repartition("token").withColumn("o", order).select(
+        "token", "key", "info",
         F.first("key").over(every).alias("b"), F.first("info").over(every).alias("ib"),
         F.count("*").over(every).alias("c"), F.lag("key").over(ordered).alias("before"),
     )
-    met = met.filter("(c > 1 OR share > 0) AND NOT coalesce(key = before, false)")
-    met = met.withColumn("many", F.expr("c > 2 OR share > 0")).withColumn("paired", F.expr(f"key <> b AND {_meets('info', 'ib')}"))
+    met = met.filter("c > 1 AND NOT coalesce(key = before, false)")
+    met = met.withColumn("many", F.expr("c > 2")).withColumn("paired", F.expr(f"key <> b AND {_meets('info', 'ib')}"))
     return met.filter("many OR paired").select(
         "key", "info", F.expr("if(paired, b, null)").alias("b"), F.when(F.col("paired"), _needed("info", "ib")).alias("need"),
-        F.expr("if(many, token, null)").alias("token"), F.expr("if(many, share, null)").alias("share"),
+        F.expr("if(many, token, null)").alias("token"),
     )
 
 
@@ -514,12 +502,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Met in tokens without other members, which are looked at no more, but not often enough.
     begun = pairs.filter("c < need").select("a", "b", "need", F.col("two").alias("n"), F.lit(True).alias("alone"))
 
-    whose = met.filter("token IS NOT NULL").select("token", "share", "key", "info")
-    whose = whose.join(labels.withColumnRenamed("node", "key"), "key", "left").repartition("token", "share")
-    whose = whose.select("token", "share", "key", "info", F.coalesce("label", "key").alias("part"))
-    group = Window.partitionBy("token", "share")
+    whose = met.filter("token IS NOT NULL").select("token", "key", "info")
+    whose = whose.join(labels.withColumnRenamed("node", "key"), "key", "left").repartition("token")
+    whose = whose.select("token", "key", "info", F.coalesce("label", "key").alias("part"))
+    group = Window.partitionBy("token")
     whose = whose.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group)})
-    whose = written(whose.filter("lo < hi OR share > 0").select("token", "key", "info", "part"), "mixed")
+    whose = written(whose.filter("lo < hi").select("token", "key", "info", "part"), "mixed")
     size = F.expr(_place("info")[0])
     parts = whose.groupBy("token", "part").agg(
         F.min(size).alias("low"), F.max(size).alias("high"), F.count("*").alias("c"), F.min("info").alias("info"),

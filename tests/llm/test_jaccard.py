@@ -95,19 +95,12 @@ def test_postings_meet_their_centre_in_one_exchange(spark):
     def info(place):
         return 40 << 34 | place << 4 | 2
 
-    rows = [(1, 0, 10, info(0)), (1, 0, 11, info(1))]  # two members
-    rows += [(2, 0, 10, info(1)), (2, 0, 11, info(0)), (2, 0, 12, info(2)), (2, 0, 12, info(2))]  # three, one twice
-    rows += [(3, 0, 13, info(0)), (4, 0, 14, info(0)), (4, 0, 14, info(0))]  # one, and one twice
-    rows += [(5, 1, 15, info(0)), (5, 2, 16, info(0))]  # one in each share
-    rows += [(6, 0, 10, info(30)), (6, 0, 11, info(0))]  # outside the pair's prefixes
+    rows = [(1, 10, info(0)), (1, 11, info(1))]  # two members
+    rows += [(2, 10, info(1)), (2, 11, info(0)), (2, 12, info(2)), (2, 12, info(2))]  # three, one twice
+    rows += [(3, 13, info(0)), (4, 14, info(0)), (4, 14, info(0))]  # one, and one twice
+    rows += [(6, 10, info(30)), (6, 11, info(0))]  # outside the pair's prefixes
     met = jaccard._postings_met(spark.createDataFrame(rows, jaccard._POSTINGS))
     assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
-    assert sorted(((r.key, r.b, r.need, r.token, r.share) for r in met.collect()), key=str) == sorted(
-        [(11, 10, 2, None, None), (10, 11, 2, 2, 0), (11, None, None, 2, 0), (12, 11, 2, 2, 0), (15, None, None, 5, 1), (16, None, None, 5, 2)], key=str
+    assert sorted(((r.key, r.b, r.need, r.token) for r in met.collect()), key=str) == sorted(
+        [(11, 10, 2, None), (10, 11, 2, 2), (11, None, None, 2), (12, 11, 2, 2)], key=str
     )
-
-
-def test_very_frequent_tokens_are_dealt_into_shares():
-    token, df = tokens_of(3, 3), np.array([10, 5_000, 100_000])
-    shares = np.array([jaccard._share(token, key, df) for key in range(2_000)])
-    assert set(shares[:, 0]) == {0} and set(shares[:, 1]) == {1, 2} and set(shares[:, 2]) == set(range(1, 26))
