@@ -11,8 +11,11 @@ must agree in more tokens before they are compared.
 The join works on classes of equal sets, and never forms all pairs of a dense
 group: each prefix token first links its members to one central member; after
 that only pairs from different components are formed, and of tokens with three
-members or more only: with two, the central one has met them all. Only the
-document that stands for its class has postings, which are sent by token once.
+members or more only: with two, the central one has met them all. Such a pair
+is formed only at a token that both sides can begin at: after it, each has
+enough shared tokens left in the pair's own prefixes. So a member with too many
+tokens of its own meets nothing, however many near copies share the others.
+Only the document that stands for its class has postings.
 
 What is counted over all documents is sent packed: sorted 40-bit values of
 tokens, as compressed differences. Only postings of tokens whose value occurs
@@ -324,6 +327,36 @@ def _meets(a: str, b: str) -> str:
     )
 
 
+def _begins(info: str, later: str, size: str, step: str) -> str:
+    """SQL: this token may be a document's first in common with one of at least this size and step.
+
+    The first `l` common tokens are inside the pair's own prefixes, so the
+    `l`-th shared token from here (`later`) is so too. What holds for a larger
+    document or step holds for a smaller one.
+    """
+    n, _, own = _place(info)
+    both = f"least({own}, {step})"
+    return f"coalesce(get({later}, cast({both} - 1 AS int)) < {n} + {both} - (3 * ({n} + {size}) + 6) div 7, false)"
+
+
+def _with_later(mixed: DataFrame) -> DataFrame:
+    """The postings with `later`: the places of this token and the next shared ones of the document, as many as a step may want."""
+    place = F.expr(_place("info")[1])
+    following = Window.partitionBy("key").orderBy(place).rowsBetween(Window.currentRow, STEP_LIMIT - 1)
+    return mixed.withColumn("later", F.collect_list(place.cast("int")).over(following))
+
+
+def _shared_enough(pairs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The pairs (`a`, `b`) that have as many tokens of `mixed` in common, inside their own prefixes, as they must."""
+    place = F.expr(_place("info")[1]).alias("place")
+    held = mixed.groupBy("key").agg(F.min("info").alias("info"), F.collect_list(F.struct(place, "token")).alias("held"))
+    one, two = held.toDF("a", "ia", "ha"), held.toDF("b", "ib", "hb")
+    (na, _, la), (nb, _, lb) = _place("ia"), _place("ib")
+    spare = f"least({la}, {lb}) - (3 * ({na} + {nb}) + 6) div 7"
+    inside = [f"transform(filter({h}, x -> x.place < {n} + {spare}), x -> x.token)" for h, n in (("ha", na), ("hb", nb))]
+    return pairs.join(one, "a").join(two, "b").filter(f"size(array_intersect({', '.join(inside)})) >= least({la}, {lb})").select("a", "b")
+
+
 def _matched(pairs: DataFrame) -> DataFrame:
     """Pairs (`a` < `b`) with how often they met, `c`, in how many tokens without other members, `two`, and `need`.
 
@@ -497,20 +530,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     star = met.filter("b IS NOT NULL").select(F.col("key").alias("a"), "b", "need", F.lit(1).alias("n"), F.col("token").isNull().alias("alone"))
     pairs = written(_matched(star).filter("c >= need OR two > 0"), "candidates")
-    near = written(_verified(docs, classes, pairs.filter("c >= need").select("a", "b")), "links")
+    # Those that met in tokens without other members, which are looked at no more, are all compared here.
+    near = written(_verified(docs, classes, pairs.select("a", "b")), "links")
     labels = components(near)
-    # Met in tokens without other members, which are looked at no more, but not often enough.
-    begun = pairs.filter("c < need").select("a", "b", "need", F.col("two").alias("n"), F.lit(True).alias("alone"))
 
     whose = met.filter("token IS NOT NULL").select("token", "key", "info")
     whose = whose.join(labels.withColumnRenamed("node", "key"), "key", "left").repartition("token")
     whose = whose.select("token", "key", "info", F.coalesce("label", "key").alias("part"))
     group = Window.partitionBy("token")
     whose = whose.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group)})
-    whose = written(whose.filter("lo < hi").select("token", "key", "info", "part"), "mixed")
-    size = F.expr(_place("info")[0])
+    whose = written(_with_later(whose.filter("lo < hi").select("token", "key", "info", "part")), "mixed")
+    size, step = F.expr(_place("info")[0]), F.expr(_place("info")[2])
     parts = whose.groupBy("token", "part").agg(
-        F.min(size).alias("low"), F.max(size).alias("high"), F.count("*").alias("c"), F.min("info").alias("info"),
+        F.min(size).alias("low"), F.max(size).alias("high"), F.min(step).alias("step"), F.count("*").alias("c"),
+        F.min("info").alias("info"), F.first("later").alias("later"),  # used of single members only
         # The least that a member's place exceeds its prefix by, in sevenths, against a document without tokens.
         F.min(F.expr("7 * {1} - 4 * {0} - 7 * {2}".format(*_place("info")))).alias("over"),
     )
@@ -519,7 +552,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         pa_.join(pb, F.expr(
             "x.token = y.token AND x.part < y.part AND 4 * x.high >= 3 * y.low AND 4 * y.high >= 3 * x.low"
             " AND x.over + 3 * y.low < 0 AND y.over + 3 * x.low < 0"
-            f" AND (x.c > 1 OR y.c > 1 OR ({_meets('x.info', 'y.info')}))"
+            f" AND (x.c > 1 OR {_begins('x.info', 'x.later', 'y.low', 'y.step')})"
+            f" AND (y.c > 1 OR {_begins('y.info', 'y.later', 'x.low', 'x.step')})"
         ))
         # `p` is the side with fewer members: it is expanded first, against the sizes of the other.
         .selectExpr(
@@ -528,15 +562,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             "if(x.c <= y.c, y.part, x.part) AS q",
             "if(x.c <= y.c, y.low, x.low) AS low",
             "if(x.c <= y.c, y.high, x.high) AS high",
+            "if(x.c <= y.c, y.step, x.step) AS step",
         )
     )
-    left = whose.select("token", F.col("part").alias("p"), F.col("key").alias("a"), F.col("info").alias("ia"))
-    right = whose.select("token", F.col("part").alias("q"), F.col("key").alias("b"), F.col("info").alias("ib"))
-    n, place, step = _place("ia")
-    fits = F.expr(f"4 * {n} >= 3 * low AND 4 * high >= 3 * {n} AND 7 * {place} - 4 * {n} - 7 * {step} + 3 * low < 0")
-    rest = apart.join(left, ["token", "p"]).filter(fits).join(right, ["token", "q"]).filter(_meets("ia", "ib"))
-    rest = rest.select("a", "b", _needed("ia", "ib").alias("need"), F.lit(1).alias("n"), F.lit(False).alias("alone"))
-    pairs = written(_matched(rest.unionByName(begun)).filter("c >= need").select("a", "b"), "candidates")
+    left = whose.select("token", F.col("part").alias("p"), F.col("key").alias("a"), F.col("info").alias("ia"), F.col("later").alias("ja"))
+    right = whose.select("token", F.col("part").alias("q"), F.col("key").alias("b"), F.col("info").alias("ib"), F.col("later").alias("jb"))
+    (na, _, la), (nb, _, lb) = _place("ia"), _place("ib")
+    fits = F.expr(f"4 * {na} >= 3 * low AND 4 * high >= 3 * {na} AND {_begins('ia', 'ja', 'low', 'step')}")
+    alike = F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) AND {_begins('ia', 'ja', nb, lb)} AND {_begins('ib', 'jb', na, la)}")
+    rest = apart.join(left, ["token", "p"]).filter(fits).join(right, ["token", "q"]).filter(alike)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(_shared_enough(rest, whose), "candidates")
     far = _verified(docs, classes, pairs)
     far = far.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     far = far.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

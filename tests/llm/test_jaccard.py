@@ -104,3 +104,64 @@ def test_postings_meet_their_centre_in_one_exchange(spark):
     assert sorted(((r.key, r.b, r.need, r.token) for r in met.collect()), key=str) == sorted(
         [(11, 10, 2, None), (10, 11, 2, 2), (11, None, None, 2), (12, 11, 2, 2)], key=str
     )
+
+
+def _join_rows(node):
+    """How many rows each join of an executed plan made."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _join_rows(node.executedPlan())
+    if "QueryStage" in node.nodeName():
+        return _join_rows(node.plan())
+    found = [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    for i in range(node.children().size()):
+        found += _join_rows(node.children().apply(i))
+    return found
+
+
+def test_near_copies_apart_from_the_rest_of_their_group_meet_little(spark, docs_of, monkeypatch):
+    draw = np.random.default_rng(7)
+    base = [f"w{j}" for j in range(150)]
+
+    def near_copy(i):
+        words = list(base)
+        for slot in draw.choice(13, 1 if i < 288 else 4, replace=False).tolist():
+            j = 5 * slot + (10 if i < 288 else 80)
+            words[j] = f"x{i}y{j}"
+        return words
+
+    copies = [near_copy(i) for i in range(300)]
+    rows = []
+    written = jaccard.written
+
+    def seen(table, label):
+        if label == "candidates":
+            table.collect()
+            rows.append(max(_join_rows(table._jdf.queryExecution().executedPlan()), default=0))
+        return written(table, label)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    docs = docs_of([(i, " ".join(words)) for i, words in enumerate(copies)])
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+
+    sets = [{tuple(w[j : j + 5]) for j in range(146)} for w in copies]
+    wanted = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if 100 * same >= 75 * (292 - same) and wanted[a] != wanted[b]:
+                low, high = sorted((wanted[a], wanted[b]))
+                wanted = [low if x == high else x for x in wanted]
+    assert found == dict(enumerate(wanted)) and len(set(wanted)) == 13
+    # Each of the twelve meets each of the others at two tokens at most, on average.
+    assert len(rows) == 2 and max(rows) < 2 * 12 * 288
+
+
+def test_a_pair_begins_where_enough_shared_tokens_follow(spark):
+    def info(step):
+        return 40 << 34 | step
+
+    # Two documents of 40 tokens must share 35: with steps of 2, two tokens among the first 7.
+    rows = [(info(2), [3, 6], 40, 2), (info(2), [3, 7], 40, 2), (info(2), [3], 40, 2), (info(9), [5, 7], 40, 1), (info(2), [3, 7], 38, 9)]
+    table = spark.createDataFrame(rows, "info long, later array<int>, size long, step long")
+    found = table.selectExpr(f"{jaccard._begins('info', 'later', 'size', 'step')} AS x").collect()
+    assert [r.x for r in found] == [True, False, False, True, True]
