@@ -302,9 +302,12 @@ def _frequent(docs: DataFrame, rows: DataFrame, chunks: int, ids: Broadcast) ->
     same everywhere all the same, which is all that the result depends on.
     """
     exact = docs.mapInArrow(_smallest(chunks, ids), _PACKED).groupBy("chunk").applyInArrow(_often(chunks), "key long, df long")
-    runs = rows.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("df"))
-    counted = exact.unionAll(runs.filter(F.col("df") >= FREQUENT_FROM))
-    top = counted.groupBy("key").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "key").limit(FREQUENT_TOKENS).toArrow()
+    none = F.lit(None).cast("long")
+    # Both are grouped at once, so that what the runs have isn't sent twice.
+    counted = exact.select("key", "df", none.alias("n")).unionAll(rows.filter("kind = 1").select("key", none.alias("df"), "n"))
+    counted = counted.groupBy("key").agg(F.max("df").alias("df"), F.sum("n").alias("n"))
+    counted = counted.select("key", F.greatest("df", F.when(F.col("n") >= FREQUENT_FROM, F.col("n"))).alias("df")).filter("df IS NOT NULL")
+    top = counted.orderBy(F.desc("df"), "key").limit(FREQUENT_TOKENS).toArrow()
     token = top["key"].to_numpy().astype(np.int64).view(np.uint64)
     df = top["df"].to_numpy().astype(np.int64)
     rank = np.arange(len(token), 0, -1, dtype=np.int64)
